@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from groundmill.llm import _text as X
 
@@ -130,8 +131,8 @@ def score(column: pa.Array, model: LanguageModel) -> tuple[list[str], np.ndarray
     return names, np.array(values, float)
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score) for each row, and the columns in ``keep``.
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score) for each row, the columns in ``keep``, and ``text`` if asked for.
 
     A text that is null, empty or has no letter, or a model without languages, gives ``und`` and 0.
     Equal scores go to the language that comes first by name.  Rows are neither joined nor dropped, so
@@ -139,11 +140,12 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     chosen = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), *keep)
-    rest = chosen.drop("text")
+    rest = chosen if with_text else chosen.drop("text")
+    skip = 0 if with_text else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, values = score(b.column(0), sent.value)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(names, pa.string()), pa.array(values)], [*b.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[skip:], pa.array(names, pa.string()), pa.array(values)], [*b.schema.names[skip:], "lang_pred", "score"])
 
-    return chosen.mapInArrow(run, rest.schema.add("lang_pred", "string").add("score", "double"))
+    return chosen.mapInArrow(run, StructType([*rest.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
