@@ -127,3 +127,9 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> tuple
         order = np.argsort(row, kind="stable")
         out, row = out[order], row[order]
     return out, row
+
+
+def unique(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x

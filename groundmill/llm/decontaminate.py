@@ -3,9 +3,10 @@
 The index holds the test items: per term its postings in blocks of BLOCK_ITEMS items, with the greatest
 weight of each block.  Weights are divided by the item's score for itself, so a score is the share of
 the item found, and one threshold serves all items.  A passage's block bounds (the sum of its terms'
-block maxima) are computed for all passages of a batch at once; where a bound reaches the threshold,
-block-max WAND (Ding and Suel 2011) walks the postings of that passage and retrieves every item at or
-above it.  Items retrieved are verified on the text: the share of the question's and of the answer's word
+block maxima) are computed for all passages of a batch at once.  This is block-max WAND (Ding and Suel 2011)
+with many queries abreast: lists' maxima rule out passages, blocks' maxima rule out blocks of a passage,
+and only blocks whose bound reaches the threshold have their postings read and scored, so every item at
+or above it is retrieved.  ``wand`` is the same search for one query, by pivots.  Items retrieved are verified on the text: the share of the question's and of the answer's word
 runs that the passage holds.
 """
 
@@ -62,6 +63,7 @@ class Index:
     begin: np.ndarray
     item: np.ndarray
     weight: np.ndarray
+    at: np.ndarray
     block_max: np.ndarray
     greatest: np.ndarray
     question: list[np.ndarray]
@@ -100,8 +102,10 @@ def build(items: list[tuple[int, str]]) -> Index:
     begin = np.searchsorted(t, np.arange(len(terms) + 1))
     block_max = np.zeros((len(terms), -(-n // BLOCK_ITEMS)), np.float32)
     np.maximum.at(block_max, (t, d // BLOCK_ITEMS), np.nextafter(w.astype(np.float32), np.float32(2)))
+    blocks = block_max.shape[1]
+    at = np.searchsorted(t * blocks + d // BLOCK_ITEMS, np.arange(len(terms) * blocks + 1))  # postings of each term and block
     greatest = block_max.max(1) if n else np.zeros(0, np.float32)
-    return Index(kept, terms, begin, d, w, block_max, greatest, [_runs(p[0]) for p in parts], [_runs(p[1]) for p in parts])
+    return Index(kept, terms, begin, d, w, at, block_max, greatest, [_runs(p[0]) for p in parts], [_runs(p[1]) for p in parts])
 
 
 def wand(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
@@ -159,7 +163,7 @@ def passages(index: Index, h: np.ndarray, rows: np.ndarray, n: int, passage: int
     chunks = np.maximum(1, -(-count // half))
     base = np.concatenate([[0], np.cumsum(chunks)])
     chunk = base[rows] + within // half
-    pair = np.unique(chunk[hit] * np.int64(len(index.terms)) + spot[hit])
+    pair = X.unique(chunk[hit] * np.int64(len(index.terms)) + spot[hit])
     c, t = pair // len(index.terms), pair % len(index.terms)
     cuts = np.searchsorted(c, np.arange(base[-1] + 1))
     # first the greatest weights alone, then the block maxima of the chunks that are left
@@ -174,7 +178,7 @@ def passages(index: Index, h: np.ndarray, rows: np.ndarray, n: int, passage: int
     maybe = maybe[~(last[maybe] & np.append([False], ~last[:-1])[maybe])] if len(maybe) else maybe  # a tail is in the passage before it
     for p in range(0, len(maybe), 4096):
         some = maybe[p : p + 4096]
-        use = np.unique(np.concatenate([some, some[~last[some]] + 1]))
+        use = X.unique(np.concatenate([some, some[~last[some]] + 1]))
         where = np.concatenate([np.arange(cuts[x], cuts[x + 1]) for x in use])
         lens = cuts[use + 1] - cuts[use]
         total = np.zeros((len(use), index.block_max.shape[1]), np.float32)
@@ -183,11 +187,30 @@ def passages(index: Index, h: np.ndarray, rows: np.ndarray, n: int, passage: int
             total[full] = np.add.reduceat(index.block_max[t[where]], np.concatenate([[0], np.cumsum(lens[full])[:-1]]), axis=0)
         one = total[np.searchsorted(use, some)]
         two = np.where(last[some][:, None], 0, total[np.minimum(np.searchsorted(use, some + 1), len(use) - 1)])
-        for x in some[((one + two) >= slack).any(1)]:
-            terms = t[cuts[x] : cuts[x + 1]] if last[x] else np.unique(t[cuts[x] : cuts[x + 2]])
-            row = int(np.searchsorted(base, x, "right")) - 1
-            for item, score in wand(index, terms, threshold):
-                yield row, int(x - base[row]) * half, item, score
+        q, block = np.nonzero(one + two >= slack)
+        if len(q):
+            yield from _score(index, some, q, block, c, t, cuts, last, base, half, threshold)
+
+
+def _score(index: Index, some, q, block, c, t, cuts, last, base, half: int, threshold: float) -> Iterator[tuple[int, int, int, float]]:
+    """Score the items of each passage's surviving blocks from their postings."""
+    x = some[q]
+    end = cuts[np.where(last[x], x + 1, np.minimum(x + 2, len(cuts) - 1))]
+    lens = end - cuts[x]
+    total = np.concatenate([[0], np.cumsum(lens)])
+    pair = np.repeat(np.arange(len(x)), lens)
+    term = t[np.repeat(cuts[x] - total[:-1], lens) + np.arange(int(total[-1]))]
+    both = X.unique(pair * np.int64(len(index.terms)) + term)
+    pair, term = both // len(index.terms), both % len(index.terms)
+    where = term * index.block_max.shape[1] + block[pair]
+    lens = index.at[where + 1] - index.at[where]
+    total = np.concatenate([[0], np.cumsum(lens)])
+    post = np.repeat(index.at[where] - total[:-1], lens) + np.arange(int(total[-1]))
+    score = np.bincount(np.repeat(pair, lens) * BLOCK_ITEMS + index.item[post] % BLOCK_ITEMS, index.weight[post], len(x) * BLOCK_ITEMS)
+    for k in np.flatnonzero(score >= threshold - 1e-6):
+        p = int(x[k // BLOCK_ITEMS])
+        row = int(np.searchsorted(base, p, "right")) - 1
+        yield row, (p - int(base[row])) * half, int(block[k // BLOCK_ITEMS]) * BLOCK_ITEMS + int(k) % BLOCK_ITEMS, float(score[k])
 
 
 def _share(part: np.ndarray, held: np.ndarray) -> float:

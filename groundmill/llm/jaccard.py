@@ -80,7 +80,7 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
         h, row = X.shingles(X.word_hashes(low, starts, ends), rows, hi - lo, k)
         cuts = np.searchsorted(row, np.arange(hi - lo + 1))
         for i in range(hi - lo):
-            yield np.unique(h[cuts[i] : cuts[i + 1]])
+            yield X.unique(h[cuts[i] : cuts[i + 1]])
 
 
 def _digest(percent: int, k: int):

@@ -38,7 +38,7 @@ def distinct_words(column: pa.Array) -> Iterator[np.ndarray]:
         h = X.word_hashes(low, starts, ends)
         cuts = np.searchsorted(rows, np.arange(hi - lo + 1))
         for i in range(hi - lo):
-            yield np.unique(h[cuts[i] : cuts[i + 1]])
+            yield X.unique(h[cuts[i] : cuts[i + 1]])
 
 
 @dataclass
