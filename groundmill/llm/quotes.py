@@ -123,16 +123,15 @@ def _threads(nodes: DataFrame) -> DataFrame:
     longest chain.
     """
     inside = (F.col("reply_conv") == F.col("conv_id")) & (F.col("reply_turn") < F.col("turn"))
-    state = cut(nodes.withColumn("up", F.when(inside, F.col("reply_turn"))).withColumn("depth", F.col("up").isNotNull().cast("long")), "threads")
+    names = ["conv_id", "turn", "linked", "reply_conv", "reply_turn", "up", "depth", "top"]
+    state = nodes.withColumn("up", F.when(inside, F.col("reply_turn"))).withColumn("depth", F.col("up").isNotNull().cast("long")).withColumn("top", F.coalesce("up", "turn"))
+    state = cut(state.select(*names), "threads")
     while state.where("up is not null").limit(1).count():
-        above = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.coalesce("top", "turn").alias("above")) if "top" in state.columns else state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("turn").alias("above"))
-        old = state if "top" in state.columns else state.withColumn("top", F.col("turn"))
-        new = old.join(above, ["conv_id", "up"], "left").select(
-            "conv_id", "turn", "linked", "reply_conv", "reply_turn", F.col("next").alias("up"),
-            (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("above", "top").alias("top"),
+        above = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("top").alias("above"))
+        moved = state.where("up is not null").join(above, ["conv_id", "up"]).select(
+            "conv_id", "turn", "linked", "reply_conv", "reply_turn", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("above").alias("top")
         )
-        found = cut(new, "threads")
+        found = cut(state.where("up is null").select(*names).unionByName(moved), "threads")  # only messages under way take part in the join
         release(state)
         state = found
-    top = F.col("top") if "top" in state.columns else F.col("turn")
-    return state.select("conv_id", "turn", "linked", "reply_conv", "reply_turn", top.alias("thread_turn"), "depth")
+    return state.select("conv_id", "turn", "linked", "reply_conv", "reply_turn", F.col("top").alias("thread_turn"), "depth")
