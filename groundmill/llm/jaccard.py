@@ -2,10 +2,12 @@
 
 1. Texts become sets of hashed word shingles; texts with equal sets are one class, kept by its least id.
 2. Exact routing.  Two sets of Jaccard p or more differ in at most D elements, D bounded by their sizes.
-   Each set is cut into D + 2 parts by hash range; two or more parts of such a pair are equal.  Equal
-   parts meet in a shuffle on the part's hash, hot parts link to their least member only, and the
-   components of these links hold every pair that can reach the threshold.  A common passage alone
-   rarely fills a whole part, so frequent passages don't draw documents together.
+   Each set is cut into D + S parts by hash range, so S or more parts of such a pair are equal: a
+   T-occurrence problem over lists of equal parts.  Texts with fewer than S shared parts are done; the
+   others skip the S - 1 longest lists they are on, as DivideSkip does, and meet on the rest.  In a
+   global order by length the shortest common list of a pair is never skipped.  Parts made of a
+   frequent passage alone are the long lists, so such passages don't draw documents together.
+   Components of these links (each list's members with its least one) hold every pair that can link.
 3. Each component is searched by T-occurrence: inverted lists of its shingles, the L longest set aside,
    the short ones merged, documents reaching T - L probed in the long ones by binary search, and those
    reaching the required overlap retained.  A large component is dealt out as pairs of blocks, so no
@@ -22,6 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundmill.llm import _text as X
@@ -47,29 +50,43 @@ def differences(percent: int, hi: int) -> int:
     return (100 - percent) * 2 * hi // (100 + percent)
 
 
-def part_hashes(s: np.ndarray, percent: int, edges: np.ndarray) -> np.ndarray:
-    """Hashes of a sorted set's parts, for its own size class and the next larger one."""
-    n, out = len(s), []
+def spare(d: int) -> int:
+    """How many equal parts are asked of two sets that differ in at most ``d`` elements."""
+    return 2 + d // 4
+
+
+def part_hashes(s: np.ndarray, percent: int, edges: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Hashes of a sorted set's parts for its own size class and the next larger one, and how many each must share.
+
+    The two low bits of a hash tell the class: 0 own, 1 next, 2 and 3 pairs of empty parts, which stand in for equal
+    parts that are empty where a set has so many that all shared ones may be.
+    """
+    n, out, need = len(s), [], [0, 0]
     own = int(np.searchsorted(edges, n, "right")) - 1
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(X.mix(s + np.uint64(0x632BE59BD9B4E019)), out=total[1:])
     high = s >> np.uint64(32)
-    for family in (own, own + 1):
+    for k, family in enumerate((own, own + 1)):
         d = differences(percent, int(edges[family + 1]) - 1)
         if not d:
             continue
-        m = d + 2
+        m = d + spare(d)
         part = (high * np.uint64(m)) >> np.uint64(32)  # rises with s
         cuts = np.searchsorted(part, np.arange(m + 1, dtype=np.uint64))
         value = total[cuts[1:]] - total[cuts[:-1]]
         key = np.arange(m, dtype=np.uint64) + np.uint64(family << 32)
         full = cuts[1:] > cuts[:-1]
-        out.append(X.chain([X.mix(key + np.uint64(1)), value])[full])
         empty = np.flatnonzero(~full)
-        if len(empty) > 1:  # both parts that a pair shares may be empty
+        need[k] = max(1, spare(d) - len(empty))
+        # the low bits name the family's parity, so both sets of a pair agree on them
+        tag = np.uint64(family % 2)
+        out.append((X.chain([X.mix(key + np.uint64(1)), value])[full] & ~np.uint64(3)) | tag)
+        if len(empty) >= spare(d):
             ij = np.array(list(combinations(empty.tolist(), 2)), np.uint64)
-            out.append(X.chain([X.mix(np.full(len(ij), (family << 32) + 7, np.uint64)), ij[:, 0], ij[:, 1] + np.uint64(0xE3)]))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+            out.append((X.chain([X.mix(np.full(len(ij), (family << 32) + 7, np.uint64)), ij[:, 0], ij[:, 1] + np.uint64(0xE3)]) & ~np.uint64(3)) | tag | np.uint64(2))
+    if own % 2:
+        need.reverse()  # by the families' parity
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), need[0], need[1]
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -83,34 +100,43 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield X.unique(h[cuts[i] : cuts[i + 1]])
 
 
-def _digest(percent: int, k: int):
+def _digest(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = _edges(percent, 1 << 16)
         for b in batches:
-            n, one, two, parts, lens = [], [], [], [], []
+            n, one, two = [], [], []
             for s in _sets(b.column(1), k):
-                if len(s) >= edges[-3]:
-                    edges = _edges(percent, 2 * len(s))
                 n.append(len(s))
-                with np.errstate(over="ignore"):
-                    one.append(int(X.mix(s).sum(dtype=np.uint64)))
-                    two.append(int(X.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
-                p = part_hashes(s, percent, edges)
-                parts.append(p)
-                lens.append(len(p))
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+                one.append(int(X.mix(s).sum(dtype=np.uint64)))
+                two.append(int(X.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0), pa.array(n, pa.int64()),
-                    pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(flat.view(np.int64))),
-                ],
-                ["doc_id", "n", "h1", "h2", "parts"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64))], ["doc_id", "n", "h1", "h2"]
             )
 
     return run
 
 
+def _parts(percent: int, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = _edges(percent, 1 << 16)
+        for b in batches:
+            key = b.column(0).to_numpy()
+            parts, rows, needs = [], [], []
+            for i, s in enumerate(_sets(b.column(1), k)):
+                if len(s) >= edges[-3]:
+                    edges = _edges(percent, 2 * len(s))
+                p, even, odd = part_hashes(s, percent, edges) if len(s) else (np.zeros(0, np.uint64), 0, 0)
+                parts.append(p.view(np.int64))
+                rows.append(np.full(len(p), i))
+                needs.append((even, odd))
+            if parts:
+                row = np.concatenate(rows)
+                need = np.array(needs, np.int16)
+                part = np.concatenate(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(key[row]), pa.array(need[row, part & 1])], ["part", "rep", "need"])
+
+    return run
+
+
 def _packed_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -223,16 +249,20 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    one = cut(docs.mapInArrow(_digest(percent, k), "doc_id long, n long, h1 long, h2 long, parts array<long>"), "sets")
+    one = cut(docs.mapInArrow(_digest(k), "doc_id long, n long, h1 long, h2 long"), "sets")
     key = ["n", "h1", "h2"]
     classes = cut(one.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    lead = classes.where("rep is not null").select("rep", "n", "h1", "h2")
-    parts = (
-        one.join(lead.withColumnRenamed("rep", "doc_id"), ["doc_id", *key], "left_semi")
-        .select(F.explode("parts").alias("part"), F.col("doc_id").alias("rep")).repartition("part")
-    )
-    hot = parts.groupBy("part").agg(F.min("rep").alias("lead"), F.count("*").alias("c")).where("c > 1").select("part", "lead")
-    star = parts.join(hot.hint("shuffle_hash"), "part").where("rep <> lead").select("rep", "lead")
+    lead = classes.where("rep is not null").select(F.col("rep").alias("doc_id"))
+    lead = F.broadcast(lead) if bounded(lead, BROADCAST_IDS) else lead
+    parts = docs.join(lead, "doc_id", "left_semi").mapInArrow(_parts(percent, k), "part long, rep long, need short").repartition("part")
+    shared = parts.groupBy("part").agg(F.count("*").alias("c")).where("c > 1")
+    lists = parts.join(shared.hint("shuffle_hash"), "part")
+    mine = W.partitionBy("rep", F.col("part").bitwiseAND(F.lit(3)))
+    kept = lists.withColumn("m", F.count("*").over(mine)).withColumn("r", F.row_number().over(mine.orderBy(F.desc("c"), F.desc("part"))))
+    kept = kept.where(((F.col("m") >= F.col("need")) & (F.col("r") >= F.col("need"))) | (F.col("part").bitwiseAND(F.lit(2)) > 0))
+    kept = cut(kept.select("part", "rep"), "lists")
+    least = kept.groupBy("part").agg(F.min("rep").alias("lead"))
+    star = kept.join(least, "part").where("rep <> lead").select("rep", "lead")
     comps = components(star, "rep", "lead")
     comps = comps.join(classes.where("rep is not null").select(F.col("rep").alias("node"), "n", "copies"), "node")
     total = comps.groupBy("root").agg(F.sum("n").alias("total"))
@@ -265,7 +295,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         ),
         "answer",
     )
-    return one.drop("parts").join(answer, key, "left").select(
+    return one.join(answer, key, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce("others", F.lit(0)).cast("long").alias("n_links"),
     )
