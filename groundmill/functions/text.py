@@ -158,4 +158,4 @@ ICD10_CHAPTERS = [
 def icd10_chapter(code: Column) -> Column:
     """The chapter of a code by the range of its category; null outside all."""
     cat = F.upper(F.substring(code, 1, 3))
-    return F.coalesce(*[F.when(cat.between(a, b), F.lit(name)) for name, a, b in ICD10_CHAPTERS])
+    return F.when(cat.rlike("^[A-Z][0-9][0-9A-Z]$"), F.coalesce(*[F.when(cat.between(a, b), F.lit(name)) for name, a, b in ICD10_CHAPTERS]))

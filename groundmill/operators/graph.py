@@ -75,4 +75,4 @@ def active_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Ontology edges between active nodes, without loops and repeats."""
     ids = nodes.where("not obsolete").select("id")
     e = edges.where("child <> parent").distinct()
-    return e.join(ids.withColumnRenamed("id", "child"), "child", "left_semi").join(ids.withColumnRenamed("id", "parent"), "parent", "left_semi")
+    return e.join(ids.withColumnRenamed("id", "child"), "child", "left_semi").join(ids.withColumnRenamed("id", "parent"), "parent", "left_semi").select("child", "parent")

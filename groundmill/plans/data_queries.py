@@ -240,13 +240,13 @@ def cross_fitted_memory(spark, d):
     """WITH o AS (SELECT o_custkey AS query_id, o_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS c FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL),
     u AS (SELECT query_id, len(c) AS n, unnest(c) AS candidate, unnest(range(0, len(c))) AS pos FROM o), k AS (SELECT query_id, count(*) AS orders FROM o GROUP BY query_id),
     s AS (SELECT query_id, candidate, round(sum(1 - pos::DOUBLE / n) / any_value(orders), 6) AS score, sum(CASE WHEN pos = 0 THEN 1 ELSE 0 END) / any_value(orders) AS f FROM u JOIN k USING (query_id) GROUP BY ALL)
-    SELECT query_id, candidate, round(score, 5) AS score, false AS abstain, round(f, 6) AS first_share FROM s""",
+    SELECT query_id, candidate, score, false AS abstain, round(f, 6) AS first_share FROM s""",
 )
 def listwise_ranking(spark, d):
     j = _t(spark, d, "orders").join(_t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     o = j.groupBy(F.col("o_custkey").alias("query_id"), "o_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("candidates"))
     r = linking.listwise(o)
-    return r.select("query_id", "candidate", F.round("score", 5).alias("score"), "abstain", F.round("first_share", 6).alias("first_share"))
+    return r.select("query_id", "candidate", "score", "abstain", F.round("first_share", 6).alias("first_share"))
 
 
 @query("review_order", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256('s' || chr(0) || o_orderpriority || chr(0) || o_orderkey), o_orderkey) AS position FROM orders")
