@@ -19,7 +19,7 @@ from groundmill.llm import _text as X
 
 #: Labelled rows that training uses at most, about, with and without the last category.
 TRAIN_POSITIVE, TRAIN_NEGATIVE = 4_000, 6_000
-FOLDS, FEATURES, LEAST_DOCS, RIDGE = 5, 256, 3, 1.0
+FOLDS, FEATURES, LEAST_DOCS, LEAST_Z, RIDGE = 5, 256, 3, 3.0, 1.0
 #: Words whose presence in a toxic text marks the finer categories of the registered query (fixed values).
 MARKERS = {
     "insult": ("clown", "fool", "idiot", "loser", "moron", "scum"),
@@ -78,7 +78,7 @@ def _fit_head(docs: list[np.ndarray], y: np.ndarray, before: np.ndarray) -> Head
     z = odds / np.sqrt(1 / (pos + 0.5) + 1 / (n - pos + 0.5))
     z[n < LEAST_DOCS] = 0
     best = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
-    words = np.sort(every[best[z[best] != 0]])
+    words = np.sort(every[best[np.abs(z[best]) >= LEAST_Z]])  # weaker words are chance on small samples
     x = np.column_stack([np.ones(len(y)), _presence(docs, words), before])
     w = np.zeros(x.shape[1])
     ridge = np.full(len(w), RIDGE)
