@@ -65,7 +65,7 @@ def sections_by_heading(spark, d):
 @query("cue_context")
 def cue_context(spark, d):
     """Each dictionary span's assertion within its sentence."""
-    docs = _t(spark, d, "documents").where("lang = 'en'")
+    docs = _t(spark, d, "documents")
     s = segment.sentences(docs, "doc_id", "text").withColumn("clause", F.col("start"))
     m = extract.dictionary_matches(docs, _concepts(spark, d), "doc_id", "text").where("exact")
     e = relations.contained(m, s.select("doc_id", "start", "end", "clause"), ["doc_id"], "clause")
@@ -98,7 +98,7 @@ def document_pipeline(spark, d):
     """Documents to entities with contexts, codes and relations: the engine's facade."""
     cues = spark.createDataFrame(CUES, CUE_SCHEMA)
     run = pipeline.Pipeline(_concepts(spark, d).withColumn("code", F.upper("concept_id")).withColumn("semantic_type", F.lit("FINDING")), cues)
-    return run.predict(_t(spark, d, "documents").where("lang = 'en'")).groupBy("document_id").agg(F.count("*").alias("entities"), F.count_if(F.col("assertion") != "PRESENT").alias("in_context"))
+    return run.predict(_t(spark, d, "documents")).groupBy("document_id").agg(F.count("*").alias("entities"), F.count_if(F.col("assertion") != "PRESENT").alias("in_context"))
 
 
 @query(
