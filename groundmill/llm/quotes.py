@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundmill.llm._store import cut, release
@@ -87,7 +88,8 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     ordering by (conv_id, thread_turn, turn) puts each reply after what it answers.  Null texts count as
     empty; messages with a null conversation or turn keep their row without links; repeated rows are
     kept each.  Originals are reduced to one row per hash (and conversation) before the join, so a
-    message that is repeated a million times is found, not multiplied.
+    message that is repeated a million times is found, not multiplied; of other conversations the two
+    least are kept.
     """
     base = messages.select(
         F.col(text_col).alias("text"), F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role")
@@ -99,7 +101,8 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     own = own.join(quoted.select("hash").distinct(), "hash", "left_semi")
     here = own.groupBy("hash", "conv_id").agg(F.min("turn").alias("source"))
     near = quoted.join(here, ["hash", "conv_id"]).where("source < turn").select("conv_id", "turn", "level", F.lit(0).alias("far"), F.col("source").alias("reply_turn"), F.col("conv_id").alias("reply_conv"))
-    least = own.groupBy("hash").agg(F.min(F.struct("turn", "conv_id")).alias("source"))
+    first = F.row_number().over(W.partitionBy("hash").orderBy("source", "conv_id"))
+    least = here.withColumn("n", first).where("n <= 2").select("hash", F.struct(F.col("source").alias("turn"), "conv_id").alias("source"))  # one of two is another conversation
     far = quoted.join(least, "hash").where("source.conv_id <> conv_id").select("conv_id", "turn", "level", F.lit(1).alias("far"), F.col("source.turn").alias("reply_turn"), F.col("source.conv_id").alias("reply_conv"))
     replies = near.unionByName(far).groupBy("conv_id", "turn").agg(F.min(F.struct("far", "level", "reply_turn", "reply_conv")).alias("r"))
     places = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn").distinct()

@@ -41,3 +41,9 @@ def test_long_chain_and_hot_message(spark):
     by = {(r.conv_id, r.turn): r for r in got.collect()}
     assert by[7, 39].depth == 39 and by[7, 39].thread_turn == 0
     assert all(by[c, 1].reply_conv == c and by[c, 1].linked for c in range(100, 400))
+
+
+def test_the_least_original_is_in_the_quoting_conversation(spark):
+    rows = [(1, 0, "u", "> a line of two conversations\nwhat is it"), (1, 1, "u", "a line of two conversations"), (2, 5, "u", "a line of two conversations"), (3, 6, "u", "a line of two conversations")]
+    got = {(r.conv_id, r.turn): r for r in Q.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1, 0].reply_conv, got[1, 0].reply_turn, got[1, 0].linked) == (2, 5, True)
