@@ -2,7 +2,8 @@
 
 Lines led by ``>`` are quotes, one level per sign.  Consecutive quoted lines of one level are a passage;
 passages and their lines are normalised and hashed, and a join on the hash finds the message they were
-written in.  Messages point at the message they reply to, so conversations are ordered by thread, and
+written in: as a whole text, paragraph or line, or, for a passage or its paragraph, as any run of words.
+Rolling hashes of the lengths that occur tell which runs are worth a hash.  Messages point at the message they reply to, so conversations are ordered by thread, and
 their texts keep no quotes.
 """
 
@@ -10,8 +11,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -22,6 +25,9 @@ from groundmill.llm._store import cut, release
 _LEVEL = re.compile(r"^[ \t]{0,3}((?:>[ \t]?)+)")
 #: Signs of a normalised passage below which it links to nothing.
 LEAST = 8
+#: Base of the rolling hash and its inverse modulo 2^64, and bits of the table that says which hashes occur in quotes.
+BASE, TABLE = 0x9E3779B97F4A7C15, 22
+INVERSE = pow(BASE, -1, 1 << 64)
 #: A line such as "On Monday, Ann wrote:" goes with the quote below it.
 _LEAD = re.compile(r"^.{0,200}\b(?:wrote|writes|said|écrit|schrieb|escribió)\s*:\s*$", re.I)
 
@@ -66,22 +72,80 @@ def _hashes(text: str) -> list[str]:
     return list(dict.fromkeys(h for p in parts if (h := key(p))))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    x = np.full(n + 1, base, np.uint64)
+    x[0] = 1
+    return np.multiply.accumulate(x)
+
+
+def _codes(words: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
+
+
+def _slots(codes: np.ndarray, n: int) -> np.ndarray:
+    """The table's slot of each run of ``n`` words, by a rolling hash."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * _powers(BASE, len(codes))[1:])])
+    x = (sums[n:] - sums[:-n]) * _powers(INVERSE, len(codes))[: len(codes) - n + 1] + np.uint64(n)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(29))) >> np.uint64(64 - TABLE)).astype(np.int64)
+
+
+def _runs(passage: str) -> list[tuple[str, int, int]]:
+    """(hash, words, slot) of a passage and its paragraphs, to be found as runs of words."""
+    out = {}
+    for part in (passage, *re.split(r"\n\s*\n", passage)):
+        words = part.lower().split()
+        if h := key(part):
+            out["r" + h] = (len(words), int(_slots(_codes(words), len(words))[0]))
+    return [(h, *x) for h, x in out.items()]
+
+
+def _found(sent):
+    """The hashes of a message's parts, and of its runs of words whose slots occur in quotes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths, table = sent.value
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                bodies = part.column(2).to_pylist()
+                hashes = [set(_hashes(t)) for t in bodies]
+                words, owner = [], []
+                for k, t in enumerate(bodies):
+                    more = t.lower().split()
+                    words += more
+                    owner += [k] * len(more)
+                codes, owner = _codes(words), np.array(owner, np.int64)
+                for n in lengths:
+                    if n <= len(words):
+                        hit = np.flatnonzero(table[_slots(codes, n)] & (owner[: len(words) - n + 1] == owner[n - 1 :]))
+                        for p in hit.tolist():
+                            if h := key(" ".join(words[p : p + n])):
+                                hashes[owner[p]].add("r" + h)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([sorted(x) for x in hashes], pa.list_(pa.string()))], ["conv_id", "turn", "own"])
+
+    return run
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.string())]))
+    kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.string()), ("words", pa.int32()), ("slot", pa.int64())]))
     for b in batches:
-        clean, quotes, own = [], [], []
+        clean, quotes, count = [], [], []
         for t in b.column(0).to_pylist():
             body, passages = parse(t or "")
             clean.append(body)
-            quotes.append([{"level": n, "hash": h} for n, p in passages for h in _hashes(p)])
-            own.append(_hashes(body))
-        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(clean, pa.string()), pa.array(quotes, kind), pa.array(own, pa.list_(pa.string()))], [*b.schema.names[1:], "body", "quotes", "own"])
+            parts = [(n, h, None, None) for n, p in passages for h in _hashes(p)]
+            count.append(len(parts))
+            parts += [(n, *x) for n, p in passages for x in _runs(p)]
+            quotes.append([dict(zip(("level", "hash", "words", "slot"), x, strict=True)) for x in parts])
+        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(clean, pa.string()), pa.array(quotes, kind), pa.array(count, pa.int64())], [*b.schema.names[1:], "body", "quotes", "n_quotes"])
 
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message: (conv_id, turn, role, body, n_quotes, reply_conv, reply_turn, linked, thread_turn, depth).
 
-    ``body`` is the text without quotes.  The quote of the least level that occurs in an earlier message of the same
+    ``body`` is the text without quotes, ``n_quotes`` counts its quotes' different parts.  A quote occurs where
+    its words stand in a row, however wrapped.  The quote of the least level that occurs in an earlier message of the same
     conversation, else in any other message, names the message replied to (the least turn, then the
     least conversation); without one it is the turn before, if there is such a row.  ``linked`` tells
     which.  ``thread_turn`` is the conversation's message that the chain of replies starts from, so
@@ -94,10 +158,16 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     base = messages.select(
         F.col(text_col).alias("text"), F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role")
     )
-    kind = "conv_id long, turn long, role string, body string, quotes array<struct<level:int,hash:string>>, own array<string>"
+    kind = "conv_id long, turn long, role string, body string, quotes array<struct<level:int,hash:string,words:int,slot:bigint>>, n_quotes long"
     parsed = cut(base.mapInArrow(_parsed, kind), "messages")
-    quoted = parsed.where("conv_id is not null and turn is not null and size(quotes) > 0").select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.hash").distinct()
-    own = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("own").alias("hash"))
+    quoted = parsed.where("conv_id is not null and turn is not null and size(quotes) > 0").select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.hash", "q.words", "q.slot").distinct()
+    quoted = cut(quoted, "quotes")
+    table = np.zeros(1 << TABLE, bool)
+    table[[r[0] for r in quoted.where("slot is not null").select("slot").distinct().collect()]] = True  # at most the table's slots
+    lengths = sorted(r[0] for r in quoted.where("words is not null").select("words").distinct().collect())
+    bodies = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", "body")
+    sent = messages.sparkSession.sparkContext.broadcast((lengths, table))
+    own = bodies.mapInArrow(_found(sent), "conv_id long, turn long, own array<string>").select("conv_id", "turn", F.explode("own").alias("hash"))
     own = own.join(quoted.select("hash").distinct(), "hash", "left_semi")
     here = own.groupBy("hash", "conv_id").agg(F.min("turn").alias("source"))
     near = quoted.join(here, ["hash", "conv_id"]).where("source < turn").select("conv_id", "turn", "level", F.lit(0).alias("far"), F.col("source").alias("reply_turn"), F.col("conv_id").alias("reply_conv"))
@@ -114,7 +184,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     )
     nodes = _threads(nodes)
     return parsed.join(nodes, ["conv_id", "turn"], "left").select(
-        "conv_id", "turn", "role", "body", F.size("quotes").cast("long").alias("n_quotes"), "reply_conv", "reply_turn",
+        "conv_id", "turn", "role", "body", "n_quotes", "reply_conv", "reply_turn",
         F.coalesce("linked", F.lit(False)).alias("linked"), "thread_turn", "depth",
     )
 

@@ -47,3 +47,23 @@ def test_the_least_original_is_in_the_quoting_conversation(spark):
     rows = [(1, 0, "u", "> a line of two conversations\nwhat is it"), (1, 1, "u", "a line of two conversations"), (2, 5, "u", "a line of two conversations"), (3, 6, "u", "a line of two conversations")]
     got = {(r.conv_id, r.turn): r for r in Q.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert (got[1, 0].reply_conv, got[1, 0].reply_turn, got[1, 0].linked) == (2, 5, True)
+
+
+def test_trimmed_and_wrapped_quotes(spark):
+    long = "Sorting is stable. The method sorts in place and it takes no copy. It runs in linear time on sorted lists.\n\nAsk again if unsure."
+    rows = [
+        (1, 0, "u", "How do I sort?"), (1, 1, "a", long), (1, 2, "u", "no quote"),
+        (1, 3, "u", "> The method sorts in place and it takes no copy.\nsure?"),
+        (1, 4, "u", "> takes no copy. It runs in\n> linear time on\n> sorted lists.\nreally?"),
+        (1, 5, "u", "> Sorting is stable.\n>\n> Ask again if unsure.\nok"),
+        (1, 6, "u", "> method sorts in place but it takes no copy\nno"),
+        (1, 7, "u", ">> Ask again\n>> if unsure.\n> nobody wrote this here\nwell"),
+        (2, 0, "u", "> RUNS in  linear time\nfrom afar"), (2, 1, "u", "Ask again if"), (2, 2, "u", "> if Ask again if unsure"),
+    ]
+    rows += [(c, 0, "u", f"this is a long line of conversation {c}. with a second part") for c in range(10, 60)]
+    rows += [(c, 2, "u", f"> conversation {c}. with a second\nhm") for c in range(10, 60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(1)
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn, r.linked) for r in Q.link_quotes(df).collect()}
+    assert [got[1, t] for t in (3, 4, 5, 7)] == [(1, 1, True)] * 4 and got[1, 6] == (1, 5, False)
+    assert got[2, 0] == (1, 1, True) and got[2, 2] == (2, 1, False)  # no run of words of one message
+    assert all(got[c, 2] == (c, 0, True) for c in range(10, 60))
