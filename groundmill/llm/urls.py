@@ -1,7 +1,7 @@
 """URL filtering: pattern rules indexed by their rarest literal token.
 
 A URL's tokens fetch the rules indexed under them by a hash join; only those rules' regular expressions
-run.  Everything is Spark SQL.
+run, and those of rules without a token on every URL.  Everything is Spark SQL.
 """
 
 from __future__ import annotations
@@ -87,7 +87,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule] = DEFAULT_RULES, default: str
         F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token")
     )
     index = table.drop("literals").join(rarest, "no")
-    fits = tokens.join(small(index), "token").where("key rlike regex")
+    fits = tokens.join(small(index), "token").where("key rlike regex").drop("token")
+    if any(not r.tokens for r in rules):  # they have no token to be found by: every key is tried
+        fits = fits.unionByName(keyed.join(small(table.where("size(literals) = 0").drop("literals")), F.expr("key rlike regex")))
     won = fits.groupBy("page_id", "key").agg(
         F.max_by(F.when(~F.col("fallback"), F.struct("name", "verdict")), F.when(~F.col("fallback"), F.struct("rank", -F.col("no")))).alias("own"),
         F.max_by(F.when(F.col("fallback"), F.col("verdict")), F.when(F.col("fallback"), -F.col("no"))).alias("other"),

@@ -37,3 +37,13 @@ def test_verdicts_equal_brute_force(spark):
 def test_main_path_is_native(spark):
     plan = urls.judge_urls(spark.createDataFrame([(1, "a")], "page_id long, url string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_rules_without_a_token(spark):
+    rules = [urls.host_rule("block", "example"), urls.host_rule("allow", "example.org/"), urls.Rule("block", "sub", "^sub", (), 50), urls.Rule("block", "any", "zz", (), 0, True)]
+    assert not rules[0].tokens and rules[1].tokens
+    pages = [(1, "http://a.example/x"), (2, "http://example.org/"), (3, "http://sub.example.org/"), (4, "http://x.com/zz"), (5, "http://x.com/"), (5, "http://x.com/"), (None, "http://examples.com"), (6, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    got = sorted(((r.page_id, r.rule, r.verdict) for r in urls.judge_urls(df, rules).collect()), key=str)
+    want = [(1, "example", "block"), (2, "example.org/", "allow"), (3, "sub", "block"), (4, None, "block"), (5, None, "allow"), (5, None, "allow"), (None, "example", "block"), (6, None, "allow")]
+    assert got == sorted(want, key=str)
