@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundmill.llm import _text as X
+from groundmill.llm._store import cut
 
 K1, B = 1.2, 0.3
 #: Words of a passage (twice the stride), and the share of an item's own score that retrieves it.
@@ -28,7 +29,8 @@ PASSAGE, THRESHOLD = 128, 0.55
 #: Shares of the question's and the answer's word runs of RUN words that a verified passage holds.
 RUN, QUESTION, ANSWER = 3, 0.7, 0.7
 BLOCK_ITEMS = 8
-#: Test items of one index: more are searched in several passes over the passages, each with its own broadcast index.
+#: Test items of one index: more are searched in several passes over the passages, each with its own broadcast index
+#: but with terms and lengths counted over all items.
 INDEX_ITEMS = 1_024
 BREAK = np.ones(256, bool)
 BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -70,19 +72,34 @@ class Index:
     answer: list[np.ndarray]
 
 
-def build(items: list[tuple[int, str]]) -> Index:
-    """The index of (item id, text) pairs; items without words are left out."""
+def _read(text: str | None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]] | None:
+    """Word hashes of an item, its question and its answer; None without words."""
+    h = [x for _, _, x, _, _ in _words(pa.array([text or ""]))]
+    if not h or not len(h[0]):
+        return None
+    return h[0], tuple(next((x for _, _, x, _, _ in _words(pa.array([p]))), np.zeros(0, np.uint64)) for p in split_item(text or ""))
+
+
+@dataclass
+class Whole:
+    """Of all items: how many have words, their mean length, and in how many each term occurs (``terms`` ascending)."""
+
+    n: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def build(items: list[tuple[int, str]], whole: Whole | None = None) -> Index:
+    """The index of (item id, text) pairs, all or a part of ``whole``; items without words are left out."""
     kept, docs, parts = [], [], []
     for i, text in items:
-        q, a = split_item(text or "")
-        h = [x for _, _, x, _, _ in _words(pa.array([text or ""]))]
-        if h and len(h[0]):
+        if read := _read(text):
             kept.append(i)
-            docs.append(h[0])
-            parts.append([next((x for _, _, x, _, _ in _words(pa.array([p]))), np.zeros(0, np.uint64)) for p in (q, a)])
+            docs.append(read[0])
+            parts.append(read[1])
     n = len(docs)
     terms = np.unique(np.concatenate([*docs, np.zeros(0, np.uint64)]))
-    mean = np.mean([len(d) for d in docs]) if n else 1.0
     t, d, w = [], [], []
     df = np.zeros(len(terms))
     counted = []
@@ -90,9 +107,12 @@ def build(items: list[tuple[int, str]]) -> Index:
         u, c = np.unique(np.searchsorted(terms, x), return_counts=True)
         counted.append((u, c))
         df[u] += 1
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    if whole is None:
+        whole = Whole(n, np.mean([len(x) for x in docs]) if n else 1.0, terms, df)
+    df = whole.df[np.searchsorted(whole.terms, terms)]
+    idf = np.log(1 + (whole.n - df + 0.5) / (df + 0.5))
     for j, (u, c) in enumerate(counted):
-        v = idf[u] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(docs[j]) / mean))
+        v = idf[u] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(docs[j]) / whole.mean))
         t.append(u)
         d.append(np.full(len(u), j))
         w.append(v / v.sum())
@@ -213,6 +233,21 @@ def _score(index: Index, some, q, block, c, t, cuts, last, base, half: int, thre
         yield row, (p - int(base[row])) * half, int(block[k // BLOCK_ITEMS]) * BLOCK_ITEMS + int(k) % BLOCK_ITEMS, float(score[k])
 
 
+def _wide(question: np.ndarray, answer: np.ndarray) -> int:
+    return len(question) + len(answer) + 2 * RUN
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each item with words: its slice, words, width and distinct terms."""
+    for b in batches:
+        rows = []
+        for t, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            if read := _read(t):
+                rows.append((p, len(read[0]), _wide(*map(_runs, read[1])), np.unique(read[0]).view(np.int64)))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["slice", "words", "wide", "terms"])
+
+
 def _share(part: np.ndarray, held: np.ndarray) -> float:
     return float(np.isin(part, held).mean()) if len(part) else 1.0
 
@@ -232,10 +267,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = items.count()
     passes = max(1, -(-n // INDEX_ITEMS))
+    if passes > 1:
+        counts = cut(items.withColumn("slice", F.pmod(F.xxhash64("i", "t"), F.lit(passes))).mapInArrow(_counted, "slice long, words long, wide long, terms array<long>"), "items")
+        total = counts.agg(F.count("*").alias("n"), F.avg("words").alias("mean"), F.max("wide").alias("wide")).first()
+        spread = counts.select("slice", F.explode("terms").alias("term"))
+        df = cut(spread.groupBy("term").count(), "item-terms")
     for p in range(passes):  # each index is bounded; a larger benchmark takes more passes
         own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p).orderBy("i", "t").collect()
-        index = build([(r["i"], r["t"]) for r in own])
-        longest = max([2, *(len(q) + len(a) + 2 * RUN for q, a in zip(index.question, index.answer, strict=True))])
+        whole = None
+        if passes > 1:
+            held = df.join(spread.where(F.col("slice") == p).select("term").distinct(), "term").collect()
+            held = sorted((np.int64(r["term"]).view(np.uint64), r["count"]) for r in held)
+            whole = Whole(total["n"], total["mean"], np.array([x for x, _ in held], np.uint64), np.array([c for _, c in held], float))
+        index = build([(r["i"], r["t"]) for r in own], whole)
+        longest = total["wide"] or 2 if whole else max([2, *(_wide(q, a) for q, a in zip(index.question, index.answer, strict=True))])
         found = text.mapInArrow(_scan(spark.sparkContext.broadcast(index), max(passage, 2 * longest), threshold), "doc_id long, item_id long, word long, score double, question double, answer double, leak boolean")
         out = found if out is None else out.unionByName(found)
     return out

@@ -92,3 +92,17 @@ def test_items_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(D, "INDEX_ITEMS", 7)
     got = D.find_leaks(docs, spark.createDataFrame(its, "item_id long, text string")).where("leak")
     assert {(i, i) for i, _ in its} <= {(r.doc_id, r.item_id) for r in got.collect()}
+
+
+def test_passes_do_not_change_the_results(spark, monkeypatch):
+    its, common, words = items(8)
+    r, rows = random.Random(9), []
+    for i, t in its:
+        w = t.split()
+        rows.append((i, " ".join(r.choice(common + words) for _ in range(60)) + " " + " ".join(w[: int(len(w) * r.uniform(0.4, 1.0))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([*its, (900, None), (901, "?"), (902, " ".join(f"long{i}" for i in range(200)))], "item_id long, text string")
+    found = lambda: sorted((x.doc_id, x.item_id, x.word, round(x.score, 6), x.question, x.answer, x.leak) for x in D.find_leaks(docs, bench).collect())
+    want = found()
+    monkeypatch.setattr(D, "INDEX_ITEMS", 7)
+    assert found() == want and 20 < len(want)
