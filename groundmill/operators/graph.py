@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from groundmill.operators.rounds import closure
+
 
 def compile_edges(relations: DataFrame, head: str, relation: str, tail: str, doc: str, confidence: str, source: str) -> DataFrame:
     """Support, documents, mean/min/max confidence and sources of each edge."""
@@ -30,35 +32,13 @@ def neighbors(edges: DataFrame, direction: str = "both", least: int = 1, most: i
 
 
 def ancestors(edges: DataFrame, depth: int = 20) -> DataFrame:
-    """The IS_A closure of (child, parent): least distance to each ancestor, cycles cut by the visited path."""
-    view = "groundmill_is_a"
-    edges.select("child", "parent").where("child <> parent").distinct().createOrReplaceTempView(view)
-    return edges.sparkSession.sql(
-        f"""
-        WITH RECURSIVE up(node, ancestor, distance, path) MAX RECURSION LEVEL {depth + 1} AS (
-          SELECT child, parent, 1, array(child, parent) FROM {view}
-          UNION ALL
-          SELECT u.node, e.parent, u.distance + 1, array_append(u.path, e.parent)
-          FROM up u JOIN {view} e ON u.ancestor = e.child
-          WHERE u.distance < {depth} AND NOT array_contains(u.path, e.parent))
-        SELECT node, ancestor, min(distance) AS distance FROM up GROUP BY node, ancestor"""
-    )
+    """The IS_A closure of (child, parent): least distance to each ancestor, in rounds of joins; cycles end by themselves."""
+    return closure(edges, depth).select("node", "ancestor", "distance")
 
 
 def shortest_paths(edges: DataFrame, depth: int = 20) -> DataFrame:
     """The least path (by length, then by its nodes) from each node to each ancestor."""
-    view = "groundmill_is_a_paths"
-    edges.select("child", "parent").where("child <> parent").distinct().createOrReplaceTempView(view)
-    return edges.sparkSession.sql(
-        f"""
-        WITH RECURSIVE up(node, ancestor, path) MAX RECURSION LEVEL {depth + 1} AS (
-          SELECT child, parent, array(child, parent) FROM {view}
-          UNION ALL
-          SELECT u.node, e.parent, array_append(u.path, e.parent)
-          FROM up u JOIN {view} e ON u.ancestor = e.child
-          WHERE size(u.path) <= {depth} AND NOT array_contains(u.path, e.parent))
-        SELECT node, ancestor, min_by(path, struct(size(path), path)) AS path FROM up GROUP BY node, ancestor"""
-    )
+    return closure(edges, depth, paths=True).select("node", "ancestor", "path")
 
 
 def invalid_codes(entities: DataFrame, matrix: DataFrame) -> DataFrame:
