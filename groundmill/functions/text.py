@@ -68,6 +68,44 @@ def span_slice(text: Column, start: Column, end: Column) -> Column:
     return F.substr(text, start + 1, end - start)
 
 
+SPANS = "array<struct<start:int,end:int,value:string>>"
+#: Elements that one running fold appends to: an append copies what is there, so longer lists are folded in two levels.
+FOLD = 128
+
+
+def in_chunks(items: Column, f, size: int = FOLD) -> Column:
+    """``f`` of each run of ``size`` items (bound once), as an array."""
+    def whole(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / size).cast("int") - 1), lambda i: f(F.slice(x, i * size + 1, F.lit(size))))
+
+    return F.transform(F.filter(F.array(items), lambda x: F.size(x) > 0), whole)
+
+
+def tiles(text: Column, pattern: str) -> Column:
+    """All matches of ``pattern`` as array<struct<start,end,value>>, leftmost and non-overlapping.
+
+    Gaps and matches tile the text, so offsets are sums of lengths.  They run within chunks, then over the chunks, so a
+    text with very many matches costs little more than its length.
+    """
+    both = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["at"] + x["gap"]
+        new = F.array(F.struct(s.alias("start"), (s + F.length(x["hit"])).alias("end"), x["hit"].alias("value")))
+        return F.struct(F.coalesce(s + F.length(x["hit"]), s).alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], new)).alias("out"))
+
+    def chunk(part: Column) -> Column:
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")), step)
+
+    def shift(acc: Column, x: Column) -> Column:
+        moved = F.transform(x["out"], lambda m: F.struct((m["start"] + acc["at"]).alias("start"), (m["end"] + acc["at"]).alias("end"), m["value"].alias("value")))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    folded = F.get(in_chunks(both, chunk), F.lit(0))
+    joined = F.aggregate(folded, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out")), shift, lambda acc: F.flatten(acc["out"]))
+    return F.coalesce(joined, F.when(text.isNotNull(), F.array().cast(SPANS)))
+
+
 def text_window(text: Column, start: Column, end: Column, radius: int) -> Column:
     """The text around a span, ``radius`` code points either way, clamped."""
     lo = F.greatest(start - radius, F.lit(0))

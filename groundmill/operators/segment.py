@@ -9,20 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def tiles(text: Column, pattern: str) -> Column:
-    """All matches of ``pattern`` as array<struct<start,end,value>>: gaps and matches tile the text, so offsets are sums."""
-    both = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
-    kind = "array<struct<start:int,end:int,value:string>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        e = s + F.length(x["hit"])
-        new = F.array(F.struct(s.alias("start"), e.alias("end"), x["hit"].alias("value")))
-        return F.struct(F.coalesce(e, s).alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], new)).alias("out"))
-
-    return F.aggregate(both, begin, step, lambda a: a["out"])
+from groundmill.functions.text import tiles
 
 
 SENTENCE = r"[^.!?\n]+(?:[.!?]+|\n+|$)"
@@ -39,11 +26,8 @@ def sentences(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 def lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, line, start, end, value): every line with its offsets."""
-    parts = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), x.alias("value")))).alias("out"))
-    t = docs.select(doc, F.posexplode(F.aggregate(parts, begin, step, lambda a: a["out"])).alias("line", "s"))
-    return t.select(doc, "line", F.col("s.start").alias("start"), (F.col("s.start") + F.length("s.value")).alias("end"), F.col("s.value").alias("value"))
+    t = docs.select(doc, F.posexplode(tiles(F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\n")), r"[^\n]*\n")).alias("line", "s"))
+    return t.select(doc, "line", F.col("s.start").alias("start"), (F.col("s.end") - 1).alias("end"), F.substr("s.value", F.lit(1), F.length("s.value") - 1).alias("value"))
 
 
 def sections(docs: DataFrame, doc: str, text: str, rules: DataFrame, most: int | None = None) -> DataFrame:
