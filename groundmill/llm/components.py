@@ -1,42 +1,5 @@
-"""Connected components by alternating large-star and small-star contraction (Kiveris et al. 2014)."""
+"""Connected components of links between documents or pictures."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from groundmill.llm._store import cut, release
-
-
-def _mark(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count("*"), F.sum((F.xxhash64("a", "b") % 1_000_003))).first())
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node on an edge between different nodes; root is the least node reachable.
-
-    Links stay in DataFrames; each round is cut to the shared folder and the rounds grow with the
-    logarithm of the longest path.  Null ends and loops are no links.
-    """
-    e = (
-        edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-        .where("a is not null and b is not null and a <> b").distinct()
-    )
-    e = cut(e, "edges")
-    mark = _mark(e)
-    while True:
-        both = e.union(e.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        found = cut(small.union(low.select("a", "m")).distinct(), "edges")
-        now = _mark(found)
-        release(e)
-        e = found
-        if now == mark:
-            break
-        mark = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-        e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    )
+from groundmill.operators.rounds import components  # noqa: F401

@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust their score.
 
-Everything is Spark SQL.  Offsets come from one walk over ``split`` (the gaps) and
-``regexp_extract_all`` (the matches), which tile the text; lengths are code points.
+Everything is Spark SQL.  Offsets come from ``split`` (the gaps) and ``regexp_extract_all`` (the matches), which tile the
+text; they are summed within chunks, then over chunks, so a text with very many spans stays linear.  Lengths are code
+points.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundmill.functions.text import in_chunks, tiles
+
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 #: Possessive forms of the contract's patterns.  A run's later starts can't match where its first one
@@ -40,19 +43,7 @@ def _none() -> Column:
 
 def find(text: Column, pattern: str) -> Column:
     """All matches with code-point offsets, leftmost and non-overlapping."""
-    both = F.zip_with(
-        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")),
-    )
-    begin = F.struct(F.lit(0).alias("at"), _none().alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["hit"])
-        new = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], new)).alias("out"))
-
-    return F.aggregate(both, begin, step, lambda acc: acc["out"])
+    return F.coalesce(tiles(text, pattern), _none())
 
 
 def _mod97(value: Column) -> Column:
@@ -149,10 +140,25 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.col(text_col)
     order = F.array_sort(F.transform("pii", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("minus"), x["kind"].alias("kind"))))
 
-    def step(acc: Column, x: Column) -> Column:
-        part = F.concat(acc["out"], F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
-        over = x["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], -x["minus"]).alias("at"), F.when(over, acc["out"]).otherwise(part).alias("out"))
+    def furthest(part: Column) -> Column:
+        return F.array_max(F.transform(part, lambda x: -x["minus"]))
+
+    def pieces(part: Column, before: Column) -> Column:
+        """The text between spans and the kinds, of one chunk: spans that begin before the furthest end are covered."""
+
+        def step(acc: Column, x: Column) -> Column:
+            new = F.array(F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+            out = F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], new))
+            return F.struct(F.greatest(acc["at"], -x["minus"]).alias("at"), out.alias("out"))
+
+        return F.aggregate(part, F.struct(before.alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: F.array_join(acc["out"], ""))
+
+    def walk_chunks(parts: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return F.struct(F.greatest(acc["at"], furthest(x)).alias("at"), F.concat(acc["out"], F.array(pieces(x, acc["at"]))).alias("out"))
+
+        last = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1))
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, last)
 
-    walk = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    walk = walk_chunks(F.get(in_chunks(order, lambda part: part), F.lit(0)))
     return found.withColumn(text_col, F.when(F.size("pii") > 0, walk).otherwise(text)).drop("pii")

@@ -64,3 +64,15 @@ def test_redaction_and_odd_tables(spark):
 def test_main_path_is_native(spark):
     plan = pii.pii_report(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_very_many_spans(spark):
+    """Two levels of sums: offsets hold across chunks, and 5,000 spans are no harder than their text."""
+    texts = [" ".join(f"{i % 256}.1.2.3" for i in range(n)) for n in (127, 128, 129, 300, 5_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pii_report(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].n_ip == t.count(" ") + 1
+        assert got[i].spans.startswith(",".join(f"{k}:{a}:{b}" for k, a, b in brute(t)))
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert all(clean[i] == re.sub(r"[0-9.]+", "<IP>", t) for i, t in enumerate(texts))
