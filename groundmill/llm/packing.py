@@ -1,7 +1,7 @@
 """Packing of tokenised documents into windows by Karmarkar-Karp multiway differencing.
 
 Documents become token ids by a public tokenizer; each is cut into pieces, full windows first.  Pieces
-are dealt by hash into groups of about GROUP_WINDOWS windows.  In a group every piece starts as a partial
+are dealt by hash into groups of about GROUP_WINDOWS windows and at most about GROUP_PIECES pieces.  In a group every piece starts as a partial
 partition of its own; the two with the largest spread are merged with opposing imbalances until one is
 left, which gives windows of nearly equal size.  Whenever one exceeds the capacity, the window count
 rises and the group is dealt again.
@@ -24,6 +24,8 @@ from groundmill.llm import _text as X
 from groundmill.llm._store import cut
 
 WINDOW, PIECE, END, GROUP_WINDOWS = 4096, 1024, 2, 256
+#: Pieces of a group at most, about: differencing holds a sum for each piece and window (100 MB at both bounds).
+GROUP_PIECES = 16_384
 #: Words kept with their ids in a worker; beyond it the memory starts anew.
 CACHE = 400_000
 #: Code points of White_Space (fixed values).
@@ -174,30 +176,31 @@ def _tokenizer(path: str) -> Tokenizer:
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, end: int = END, window: int = WINDOW, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): each document's ids and ``end``, cut into pieces.
+    """(doc_id, start, length, ids_crc32, doc_tokens, row[, ids]): each document's ids and ``end``, cut into pieces.
 
     ``tokenizer`` is the path of a tokenizers file, the same on all machines.  A null text counts as
-    empty: it has the end id alone.
+    empty: it has the end id alone.  ``row`` counts the rows of a task, so repeated rows differ.
     """
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * ids
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long" + ", ids array<int>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(tokenizer)
+        t, row = _tokenizer(tokenizer), 0
         for b in batches:
             key, out, kept = b.column(0).to_pylist(), [], []
             for i, x in zip(key, t.encode(b.column(1)), strict=True):
+                row += 1
                 x = np.append(x, np.uint32(end)).astype("<u4")
                 full = len(x) // window * window
                 for at in [*range(0, full, window), *range(full, len(x), piece)]:
                     part = x[at : min(at + (window if at < full else piece), len(x))]
-                    out.append((i, at, len(part), zlib.crc32(part.tobytes()), len(x)))
+                    out.append((i, at, len(part), zlib.crc32(part.tobytes()), len(x), row))
                     if ids:
                         kept.append(part.astype(np.int32))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
             arrays = [pa.array(c, pa.int64()) for c in cols]
             if ids:
                 arrays.append(pa.array(kept, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * ids])
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row", *["ids"] * ids])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -247,7 +250,7 @@ def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 def _pack(window: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32", "row"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
         size = pdf["length"].to_numpy()
         seq = np.zeros(len(pdf), np.int64)
         full = int((size >= window).sum())
@@ -261,7 +264,7 @@ def _pack(window: int):
         offset[order] = total - np.maximum.accumulate(np.where(first, total, 0))
         pdf["sequence_id"] = (pdf["part"].to_numpy() << 32) + seq
         pdf["offset"] = offset
-        return pdf.drop(columns="part")
+        return pdf.drop(columns=["part", "row"])
 
     return run
 
@@ -274,8 +277,8 @@ def pack(docs: DataFrame, tokenizer: str, end: int = END, window: int = WINDOW,
     are packed like any other row; other columns are ignored; an empty table gives an empty result.
     """
     pieces = cut(tokenize_pieces(docs, tokenizer, end, window, piece, id_col, text_col), "pieces")
-    tokens = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    parts = max(1, round(tokens / (window * GROUP_WINDOWS)))
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)))
+    tokens, n = pieces.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    parts = max(1, round(tokens / (window * GROUP_WINDOWS)), -(-n // GROUP_PIECES))
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row"), F.lit(parts)))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return dealt.groupBy("part").applyInPandas(_pack(window), schema)

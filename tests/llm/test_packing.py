@@ -72,3 +72,17 @@ def test_round_trip(spark):
         assert at <= 4096
     assert sum(r.length for r in seen[0]) == len(ids("")) + 1 + len(ids(TEXTS[4])) + 1
     assert packing.pack(df.limit(0), tokenizer_path()).count() == 0
+
+
+def test_groups_are_bounded_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 100)
+    seen = []
+    true = packing.windows
+    monkeypatch.setattr(packing, "windows", lambda sizes, capacity: seen.append(len(sizes)) or true(sizes, capacity))
+    df = spark.range(1500).selectExpr("if(id % 2 = 0, 7, id) as doc_id", "cast(null as string) as text")
+    got = packing.pack(df, tokenizer_path()).collect()
+    per = defaultdict(int)
+    for r in got:
+        per[r.sequence_id >> 32] += 1
+    assert len(got) == 1500 and len(per) == 15 and max(per.values()) < 200  # repeated rows are dealt apart
+    assert len({(r.sequence_id, r.offset) for r in got}) == 1500
