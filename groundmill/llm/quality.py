@@ -195,10 +195,13 @@ def fit_rows(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> AdditiveModel:
-    """Fit on labelled texts; only features of a bounded sample, thinned by a hash of the id, reach the driver."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna()
+    """Fit on labelled texts; only features of a bounded sample, thinned by a hash of the id, reach the driver.
+
+    An id counts once however often it occurs in ``labels`` (its largest label) or in ``docs`` (one of its texts).
+    """
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
     every = max(1, -(-known.count() // rows))
-    known = known.where(F.pmod(F.xxhash64("_id"), F.lit(every)) == 0)  # about ``rows`` rows at most: small enough to broadcast
+    known = known.where(F.pmod(F.xxhash64("_id"), F.lit(every)) == 0)  # about ``rows`` different ids at most: small enough to broadcast
     text = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([*[pa.array(x[:, j]) for j in range(x.shape[1])], b.column(1)], [*FEATURES, "_y"])
 
     schema = ", ".join(f"{f} double" for f in FEATURES) + ", _y int"
-    got = text.join(F.broadcast(known), "_id").select("_text", "_y").mapInArrow(run, schema).toPandas()
+    sample = text.join(F.broadcast(known), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_y").alias("_y"))
+    got = sample.select("_text", "_y").mapInArrow(run, schema).toPandas()
     got = got.sort_values([*FEATURES, "_y"], kind="stable")
     return fit_rows(got[list(FEATURES)].to_numpy(), (got["_y"].to_numpy() > 0).astype(float))
 

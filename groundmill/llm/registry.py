@@ -28,8 +28,8 @@ def tokenizer_path() -> str:
 
 
 def remainder(n: int):
-    """crc32 of the id as text, modulo ``n``."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+    """crc32 of the id as text, modulo ``n``; a null id counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(n))
 
 
 @query
@@ -40,9 +40,10 @@ def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chain insult, degrading, toxic, trained on ``labels.toxic``, over all documents."""
+    """A chain over the two labels that the tables have, low quality first, then toxic, over all documents."""
     docs = table(spark, sf_dir, "documents")
-    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), ["insult", "degrading", "toxic"], toxicity.MARKERS)
+    labels = table(spark, sf_dir, "labels").withColumn("low_quality", 1 - F.col("quality"))
+    chain = toxicity.fit(docs, labels, ["low_quality", "toxic"])
     return toxicity.predict(docs, chain)
 
 
@@ -76,8 +77,8 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threads of all conversations, without quotes."""
-    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+    """Threads of all conversations, without quotes; the table holds none, so they are drawn from earlier messages."""
+    return quotes.link_quotes(quotes.with_quotes(table(spark, sf_dir, "conversations")))
 
 
 @query

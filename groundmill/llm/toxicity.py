@@ -20,11 +20,6 @@ from groundmill.llm import _text as X
 #: Labelled rows that training uses at most, about, with and without the last category.
 TRAIN_POSITIVE, TRAIN_NEGATIVE = 4_000, 6_000
 FOLDS, FEATURES, LEAST_DOCS, LEAST_Z, RIDGE = 5, 256, 3, 3.0, 1.0
-#: Words whose presence in a toxic text marks the finer categories of the registered query (fixed values).
-MARKERS = {
-    "insult": ("clown", "fool", "idiot", "loser", "moron", "scum"),
-    "degrading": ("disgusting", "garbage", "pathetic", "stupid", "trash", "worthless"),
-}
 #: Words are runs of ASCII letters and digits or of any non-ASCII characters.
 BREAK = np.ones(256, bool)
 BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -110,24 +105,20 @@ def fit_chain(docs: list[np.ndarray], labels: np.ndarray, categories: list[str],
     return chain
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: list[str], markers: dict[str, tuple[str, ...]] | None = None, id_col: str = "doc_id", text_col: str = "text", positive: int = TRAIN_POSITIVE, negative: int = TRAIN_NEGATIVE) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", positive: int = TRAIN_POSITIVE, negative: int = TRAIN_NEGATIVE) -> Chain:
     """Fit on a bounded sample of the labelled rows: each class of the last category is thinned by hash.
 
-    ``labels`` has ``id_col`` and a 0/1 column for each category but those in ``markers``: such a category
-    holds for positive rows of the last one whose text has one of its words.  Rows with a null label are
-    left out.
+    ``labels`` has ``id_col`` and a 0/1 column for each category.  Rows with a null label are left out, and an id counts
+    once however often it occurs in ``labels`` (its largest labels) or in ``docs`` (one of its texts).
     """
-    last, markers = categories[-1], markers or {}
-    given = [c for c in categories if c not in markers]
-    rows = labels.select(F.col(id_col).alias("_id"), *[F.col(c).cast("int").alias(f"_y_{c}") for c in given]).dropna()
+    last = categories[-1]
+    rows = labels.select(F.col(id_col).alias("_id"), *[F.col(c).cast("int").alias(f"_y_{c}") for c in categories]).dropna()
+    rows = rows.groupBy("_id").agg(*[F.max(f"_y_{c}").alias(f"_y_{c}") for c in categories])
     n = {bool(r[0]): r[1] for r in rows.groupBy(F.col(f"_y_{last}") > 0).count().collect()}
     every = F.when(F.col(f"_y_{last}") > 0, F.lit(max(1, -(-n.get(True, 0) // positive)))).otherwise(F.lit(max(1, -(-n.get(False, 0) // negative))))
-    rows = rows.where(F.pmod(F.xxhash64("_id"), every) == 0)  # about positive + negative rows at most: small enough to broadcast
+    rows = rows.where(F.pmod(F.xxhash64("_id"), every) == 0)  # about positive + negative different ids at most: small enough to broadcast
     text = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    found = text.join(F.broadcast(rows), "_id")
-    for c, words in markers.items():
-        marked = F.lower("_text").rlike("(?<![a-z0-9])(?:" + "|".join(words) + ")(?![a-z0-9])")
-        found = found.withColumn(f"_y_{c}", (marked & (F.col(f"_y_{last}") > 0)).cast("int"))
+    found = text.join(F.broadcast(rows), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), *[F.first(f"_y_{c}").alias(f"_y_{c}") for c in categories])
     found = found.select("_text", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(FOLDS)).alias("fold"), *[f"_y_{c}" for c in categories])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -76,11 +76,13 @@ def test_quality_is_a_sum_of_tables():
 def test_toxicity(spark):
     docs, labels = registry.table(spark, SF, "documents"), registry.table(spark, SF, "labels")
     part = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 0
-    chain = toxicity.fit(docs, labels.where(~part), ["insult", "degrading", "toxic"], toxicity.MARKERS)
-    got = toxicity.predict(docs, chain).join(labels.where(part), "doc_id").collect()
-    # four in ten toxic labels of these tables are on texts in other languages without any telling word: chance
-    telling = {r.doc_id for r in docs.where(F.lower("text").rlike("|".join(w for v in toxicity.MARKERS.values() for w in v))).collect()}
-    assert np.mean([r.predicted for r in got if r.toxic and r.doc_id in telling]) > 0.95
+    labels = labels.withColumn("low_quality", 1 - F.col("quality"))
+    chain = toxicity.fit(docs, labels.where(~part), ["low_quality", "toxic"])
+    got = toxicity.predict(docs, chain).join(labels.where(part), "doc_id").join(docs.select("doc_id", "lang").distinct(), "doc_id").collect()
+    hits = {k: [r.predicted for r in got if r.toxic and (r.lang == "en") == k] for k in (True, False)}
+    print("held-out toxic, en and others:", {k: (sum(v), len(v)) for k, v in hits.items()})
+    # all held-out toxic rows count; the tables label texts in other languages toxic without a word that tells them
+    assert sum(map(sum, hits.values())) >= 0.5 * sum(map(len, hits.values())) and np.mean(hits[True]) > 0.8
     assert np.mean([r.predicted for r in got if not r.toxic]) < 0.01
     rows = toxicity.predict(odd(spark), chain).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
