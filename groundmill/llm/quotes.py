@@ -4,7 +4,8 @@ Lines led by ``>`` are quotes, one level per sign.  Consecutive quoted lines of
 passages and their lines are normalised and hashed, and a join on the hash finds the message they were
 written in: as a whole text, paragraph or line, or, for a passage or its paragraph, as any run of words.
 Rolling hashes of the lengths that occur tell which runs are worth a hash.  Messages point at the message they reply to, so conversations are ordered by thread, and
-their texts keep no quotes.
+their texts keep no quotes.  A thread's order is the walk through its replies, each answer after what it answers: the
+list of steps down and up the replies is ranked by pointer jumping, so no thread is gathered in one task.
 """
 
 from __future__ import annotations
@@ -142,14 +143,16 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per message: (conv_id, turn, role, body, n_quotes, reply_conv, reply_turn, linked, thread_turn, depth).
+    """One row per message: (conv_id, turn, role, body, n_quotes, reply_conv, reply_turn, linked, thread_turn, depth,
+    position).
 
     ``body`` is the text without quotes, ``n_quotes`` counts its quotes' different parts.  A quote occurs where
     its words stand in a row, however wrapped.  The quote of the least level that occurs in an earlier message of the same
     conversation, else in any other message, names the message replied to (the least turn, then the
     least conversation); without one it is the turn before, if there is such a row.  ``linked`` tells
-    which.  ``thread_turn`` is the conversation's message that the chain of replies starts from, so
-    ordering by (conv_id, thread_turn, turn) puts each reply after what it answers.  Null texts count as
+    which.  ``thread_turn`` is the conversation's message that the chain of replies starts from, and
+    ``position`` the message's place in that thread, from 0: each reply comes after what it answers and what was answered
+    there before it, replies to one message by turn.  Null texts count as
     empty; messages with a null conversation or turn keep their row without links; repeated rows are
     kept each.  Originals are reduced to one row per hash (and conversation) before the join, so a
     message that is repeated a million times is found, not multiplied; of other conversations the two
@@ -182,10 +185,10 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
         F.coalesce("r.reply_conv", F.when(F.col("has"), F.col("conv_id"))).alias("reply_conv"),
         F.coalesce("r.reply_turn", F.when(F.col("has"), F.col("turn") - 1)).alias("reply_turn"),
     )
-    nodes = _threads(nodes)
+    nodes = _ordered(cut(_threads(nodes), "threads"))
     return parsed.join(nodes, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "role", "body", "n_quotes", "reply_conv", "reply_turn",
-        F.coalesce("linked", F.lit(False)).alias("linked"), "thread_turn", "depth",
+        F.coalesce("linked", F.lit(False)).alias("linked"), "thread_turn", "depth", "position",
     )
 
 
@@ -208,3 +211,52 @@ def _threads(nodes: DataFrame) -> DataFrame:
         release(state)
         state = found
     return state.select("conv_id", "turn", "linked", "reply_conv", "reply_turn", F.col("top").alias("thread_turn"), "depth")
+
+
+def _ordered(nodes: DataFrame) -> DataFrame:
+    """Add position: how many messages come before in the walk through the thread's replies.
+
+    A message is a step down (weight 1) and a step up (0).  Down leads to the first reply's down, or to its own up; up
+    leads to the next reply's down of the same message, or to that message's up.  The weights from a step to the walk's
+    end are summed by doubling; a message's place is the thread's size less that sum.
+    """
+    inside = (F.col("reply_conv") == F.col("conv_id")) & (F.col("reply_turn") < F.col("turn"))
+    tree = nodes.select("conv_id", "thread_turn", "turn", F.when(inside, F.col("reply_turn")).alias("parent"))
+    later = F.lead("turn").over(W.partitionBy("conv_id", "parent").orderBy("turn"))
+    sibling = tree.where("parent is not null").withColumn("later", later).unionByName(tree.where("parent is null").withColumn("later", F.lit(None).cast("long")))
+    child = tree.where("parent is not null").groupBy("conv_id", F.col("parent").alias("turn")).agg(F.min("turn").alias("child"))
+    both = sibling.join(child, ["conv_id", "turn"], "left")
+    step = lambda turn, up: F.when(turn.isNotNull(), F.struct(turn.alias("turn"), F.lit(up).alias("up")))
+    down = both.select("conv_id", "turn", F.lit(0).alias("up"), F.coalesce(step(F.col("child"), 0), step(F.col("turn"), 1)).alias("next"), F.lit(1).cast("long").alias("sum"))
+    up = both.select("conv_id", "turn", F.lit(1).alias("up"), F.coalesce(step(F.col("later"), 0), step(F.col("parent"), 1)).alias("next"), F.lit(0).cast("long").alias("sum"))
+    state = cut(down.unionByName(up), "walk")
+    while not state.where("next is not null").isEmpty():
+        ahead = state.select("conv_id", F.struct("turn", "up").alias("next"), F.col("next").alias("after"), F.col("sum").alias("more"))
+        moved = state.where("next is not null").join(ahead, ["conv_id", "next"]).select("conv_id", "turn", "up", F.col("after").alias("next"), (F.col("sum") + F.col("more")).alias("sum"))
+        found = cut(state.where("next is null").unionByName(moved), "walk")
+        release(state)
+        state = found
+    size = tree.groupBy("conv_id", "thread_turn").agg(F.count("*").alias("size"))
+    left = state.where("up = 0").select("conv_id", "turn", "sum")
+    return nodes.join(left, ["conv_id", "turn"]).join(size, ["conv_id", "thread_turn"]).withColumn("position", F.col("size") - F.col("sum")).drop("sum", "size")
+
+
+def conversations(linked: DataFrame, most: int = 512) -> DataFrame:
+    """Training rows: (conv_id, thread_turn, part, messages) with ``messages`` an array of (role, body) in reply order.
+
+    A thread of more than ``most`` messages goes on in the next part, so a row is bounded.  Repeated messages follow each
+    other; messages without a conversation or turn are in none.
+    """
+    own = linked.where("position is not null").withColumn("part", F.floor(F.col("position") / most))
+    rows = own.groupBy("conv_id", "thread_turn", "part").agg(F.array_sort(F.collect_list(F.struct("position", "role", "body"))).alias("m"))
+    return rows.select("conv_id", "thread_turn", "part", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["body"].alias("body"))).alias("messages"))
+
+
+def with_quotes(messages: DataFrame, every: int = 3) -> DataFrame:
+    """Messages that quote: each ``every``-th one, by a hash of its place, gets the first sentence of the message two turns
+    before it as a quote, for tables whose messages hold none."""
+    earlier = messages.groupBy(F.col("conv_id"), (F.col("turn") + 2).alias("turn")).agg(F.min("text").alias("_earlier"))
+    quote = F.regexp_extract("_earlier", r"^[^.!?\n]*[.!?]?", 0)
+    picked = (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(every)) == 0) & (F.length(quote) >= LEAST)
+    held = messages.join(earlier, ["conv_id", "turn"], "left")
+    return held.withColumn("text", F.when(picked, F.concat(F.lit("> "), quote, F.lit("\n"), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))).select(*messages.columns)

@@ -67,3 +67,54 @@ def test_trimmed_and_wrapped_quotes(spark):
     assert [got[1, t] for t in (3, 4, 5, 7)] == [(1, 1, True)] * 4 and got[1, 6] == (1, 5, False)
     assert got[2, 0] == (1, 1, True) and got[2, 2] == (2, 1, False)  # no run of words of one message
     assert all(got[c, 2] == (c, 0, True) for c in range(10, 60))
+
+
+def walk(got):
+    """Places by force: each thread walked through its replies."""
+    want = {}
+    for c, t in got:
+        if got[c, t].reply_turn is None or got[c, t].reply_conv != c:
+            todo, n = [t], 0
+            while todo:
+                x = todo.pop()
+                want[c, x] = (t, n)
+                n += 1
+                todo += sorted((b for a, b in got if a == c and got[a, b].reply_conv == c and got[a, b].reply_turn == x), reverse=True)
+    return want
+
+
+def test_reply_order_and_conversations(spark):
+    import random
+
+    r, rows = random.Random(5), []
+    for c in range(12):
+        lines = [f"message {t} of {c} says {r.random()}" for t in range(r.choice([1, 2, 9, 30]))]
+        for t, line in enumerate(lines):
+            quote = f"> {lines[r.randrange(t)]}\n" if t and r.random() < 0.6 else ""
+            rows.append((c, t, "user" if t % 2 else "bot", quote + line))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    linked = Q.link_quotes(df)
+    got = {(x.conv_id, x.turn): x for x in linked.collect()}
+    assert {k: (x.thread_turn, x.position) for k, x in got.items()} == walk(got)
+    said = {(c, t): (role, text.split("\n")[-1]) for c, t, role, text in rows}
+    for x in Q.conversations(linked, 8).collect():
+        order = sorted((p, t) for (c, t), (top, p) in walk(got).items() if c == x.conv_id and top == x.thread_turn)
+        assert [(m.role, m.body) for m in x.messages] == [said[x.conv_id, t] for _, t in order][x.part * 8 : x.part * 8 + 8]
+
+
+def test_links_of_drawn_quotes_equal_brute_force(spark):
+    from groundmill.llm import registry
+
+    d = "/root/testdata/sf0.001"
+    asked = Q.with_quotes(registry.table(spark, d, "conversations")).collect()
+    got = {(r.conv_id, r.turn): r for r in registry.QUERIES["op7_quotes"](spark, d).collect()}
+    words = {(m.conv_id, m.turn): f" {' '.join(Q.parse(m.text or '')[0].lower().split())} " for m in asked}
+    linked = 0
+    for m in asked:
+        passages = Q.parse(m.text or "")[1]
+        if passages:
+            quote = f" {Q.normal(passages[0][1])} "
+            same = sorted(t for c, t in words if c == m.conv_id and t < m.turn and quote in words[c, t])
+            assert got[m.conv_id, m.turn].linked and got[m.conv_id, m.turn].reply_turn == same[0] and got[m.conv_id, m.turn].reply_conv == m.conv_id
+            linked += 1
+    assert linked > 5
