@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundmill.llm import _text as X
-from groundmill.llm._store import bounded, cut
+from groundmill.llm._store import bounded, cut, release
 from groundmill.llm.components import components
 
 #: Shingles that one block of a component holds at most (if no single text has more).
@@ -100,14 +100,20 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield X.unique(h[cuts[i] : cuts[i + 1]])
 
 
+def _sums(s: np.ndarray) -> tuple[int, int]:
+    """Two sums of hashes that tell sets apart."""
+    return int(X.mix(s).sum(dtype=np.uint64)), int(X.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
+
+
 def _digest(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, one, two = [], [], []
             for s in _sets(b.column(1), k):
                 n.append(len(s))
-                one.append(int(X.mix(s).sum(dtype=np.uint64)))
-                two.append(int(X.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
+                x, y = _sums(s)
+                one.append(x)
+                two.append(y)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64))], ["doc_id", "n", "h1", "h2"]
             )
@@ -115,6 +121,18 @@ def _digest(k: int):
     return run
 
 
+def _own(k: int):
+    """Of texts that share an id, those of the class asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            want = zip(b.column(2).to_numpy().view(np.uint64).tolist(), b.column(3).to_numpy().view(np.uint64).tolist(), strict=True)
+            held = pa.array([_sums(s) == w for s, w in zip(_sets(b.column(1), k), want, strict=True)], pa.bool_())
+            yield b.select([0, 1]).filter(held)
+
+    return run
+
+
 def _parts(percent: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = _edges(percent, 1 << 16)
@@ -243,7 +261,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     ``k`` words, or its whole sequence if it has fewer.  Two texts link when their sets' Jaccard
     similarity is ``percent`` / 100 or more.  ``component_id`` is the least id reachable by links (its own
     for a text without links), ``n_links`` the number of other rows linked.  Null and empty texts have no
-    shingles and no links.  Rows with equal id are kept each; a row with a null id is no class's
+    shingles and no links.  Rows with equal id are kept and answered each, whether their texts are equal or not; a row with a null id is no class's
     representative and gets the component of the texts equal to its own, else null.  An empty table
     gives an empty result.  Other columns are ignored.
     """
@@ -251,12 +269,28 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     one = cut(docs.mapInArrow(_digest(k), "doc_id long, n long, h1 long, h2 long"), "sets")
     key = ["n", "h1", "h2"]
-    classes = cut(one.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    lead = classes.where("rep is not null").select(F.col("rep").alias("doc_id"))
-    lead = F.broadcast(lead) if bounded(lead, BROADCAST_IDS) else lead
-    parts = docs.join(lead, "doc_id", "left_semi").mapInArrow(_parts(percent, k), "part long, rep long, need short").repartition("part")
-    shared = parts.groupBy("part").agg(F.count("*").alias("c")).where("c > 1")
-    lists = parts.join(shared.hint("shuffle_hash"), "part")
+    classes = one.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    again = cut(one.where("n > 0").groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
+    odd = not again.isEmpty()  # ids of several rows: their classes need a name of their own
+    node = F.col("rep") if not odd else F.when(F.col("again"), F.xxhash64(*key)).otherwise(F.col("rep"))
+    if odd:
+        classes = classes.join(again.select(F.col("doc_id").alias("rep"), F.lit(True).alias("again")), "rep", "left")
+        docs = docs.join(again, "doc_id", "left_anti").unionByName(docs.join(again, "doc_id", "left_semi").distinct())
+    classes = cut(classes.withColumn("node", node).select(*key, "rep", "copies", "node"), "classes")
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        """(node, text): one text of each class named."""
+        if odd:
+            own = docs.join(classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node", "h1", "h2"), "doc_id")
+            return own.select("node", "text", "h1", "h2").mapInArrow(_own(k), "node long, text string")
+        ids = nodes.select(F.col("node").alias("doc_id"))
+        return docs.join(F.broadcast(ids) if bounded(ids, BROADCAST_IDS) else ids, "doc_id", "left_semi")
+
+    named = classes.where("rep is not null")
+    parts = texts(named.select("node")).mapInArrow(_parts(percent, k), "part long, rep long, need short").repartition("part")
+    # the count reads all columns of the parts, so both sides of the join are one exchange
+    shared = parts.groupBy("part").agg(F.count("*").alias("c"), F.max("need").alias("most"), F.min("rep").alias("first")).where("c > 1 and most >= 0 and first is not null")
+    lists = parts.join(shared.select("part", "c").hint("shuffle_hash"), "part")
     mine = W.partitionBy("rep", F.col("part").bitwiseAND(F.lit(3)))
     kept = lists.withColumn("m", F.count("*").over(mine)).withColumn("r", F.row_number().over(mine.orderBy(F.desc("c"), F.desc("part"))))
     kept = kept.where(((F.col("m") >= F.col("need")) & (F.col("r") >= F.col("need"))) | (F.col("part").bitwiseAND(F.lit(2)) > 0))
@@ -264,7 +298,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     least = kept.groupBy("part").agg(F.min("rep").alias("lead"))
     star = kept.join(least, "part").where("rep <> lead").select("rep", "lead")
     comps = components(star, "rep", "lead")
-    comps = comps.join(classes.where("rep is not null").select(F.col("rep").alias("node"), "n", "copies"), "node")
+    comps = cut(comps.join(named.select("node", "n", "copies"), "node"), "routes")
+    release(kept)
     total = comps.groupBy("root").agg(F.sum("n").alias("total"))
     members = cut(
         comps.join(total, "root").select(
@@ -273,10 +308,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         ),
         "members",
     )
-    ids = members.select(F.col("rep").alias("doc_id"))
-    ids = F.broadcast(ids) if bounded(ids, BROADCAST_IDS) else ids
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_packed_sets(k), "rep long, set binary")
-    sets = members.join(sets.where(F.octet_length("set") > 0), "rep").where(F.col("n") * 8 == F.octet_length("set"))
+    release(comps)
+    sets = texts(members.select(F.col("rep").alias("node"))).mapInArrow(_packed_sets(k), "rep long, set binary")
+    sets = members.join(sets, "rep").where(F.col("n") * 8 == F.octet_length("set"))
     dealt = sets.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
@@ -287,14 +321,20 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         (F.col("blocks") > 1).alias("large"),
     )
     links = cut(dealt.groupBy("large", "bin", "one", "two").applyInPandas(_search(percent), "a long, b long, links long"), "links")
-    found = components(links).select(F.col("node").alias("rep"), "root")
-    tally = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("more"))
+    release(members)
+    found = components(links).select("node", "root")
+    if odd:  # a class's name may be no id
+        least = found.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("id"))
+        found = found.join(least, "root").select("node", F.col("id").alias("root"))
+    tally = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("more"))
     answer = cut(
-        classes.join(found, "rep", "left").join(tally, "rep", "left").select(
+        classes.join(found, "node", "left").join(tally, "node", "left").select(
             *key, F.coalesce("root", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("others")
         ),
         "answer",
     )
+    for table in (links, classes, again):
+        release(table)
     return one.join(answer, key, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce("others", F.lit(0)).cast("long").alias("n_links"),

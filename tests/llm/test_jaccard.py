@@ -73,3 +73,12 @@ def test_odd_tables(spark):
     assert got[5, 1].component_id == 4 and got[6, 1].component_id == 6 and got[None, 1].component_id == 4
     assert got[8, 2].component_id == 7 and got[9, 1].component_id == 9 and got[9, 1].n_links == 1 and got[10, 1].component_id == 10
     assert jaccard_classes(df.limit(0), 3, 90).count() == 0
+
+
+def test_repeated_ids(spark):
+    far = " ".join(f"v{i}" for i in range(40))
+    rows = [(9, "a b c d"), (9, far), (9, far), (4, "a b c d"), (12, far + " end"), (12, "q"), (15, "q"), (None, "q"), (12, far + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard_classes(df, 3, 90).collect()), key=str)
+    want = sorted(((i, n, c if i is not None else 12, m) for i, n, c, m in brute([(99 if i is None else i, t) for i, t in rows], 3, 90) for i in [None if i == 99 else i]), key=str)
+    assert got == want
