@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundmill.llm import decontaminate, langid, packing, pii
-from groundmill.llm._store import bounded, cut
+from groundmill.llm._store import bounded, cut, release
 from groundmill.llm.jaccard import BROADCAST_IDS, jaccard_classes
 from groundmill.llm.registry import table, tokenizer_path
 
@@ -68,5 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``; what each returns is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        kept = cut(stage(spark, docs, sf_dir), name)
+        release(docs)  # the documents themselves are no table of ours and stay
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
