@@ -81,7 +81,7 @@ def in_chunks(items: Column, f, size: int = FOLD) -> Column:
     return F.transform(F.filter(F.array(items), lambda x: F.size(x) > 0), whole)
 
 
-def tiles(text: Column, pattern: str) -> Column:
+def tiles(text: Column, pattern: str | Column) -> Column:
     """All matches of ``pattern`` as array<struct<start,end,value>>, leftmost and non-overlapping.
 
     Gaps and matches tile the text, so offsets are sums of lengths.  They run within chunks, then over the chunks, so a

@@ -120,15 +120,34 @@ def resolve_weighted(spans: DataFrame, doc: str, weight: str = "weight") -> Data
     Islands of overlapping spans are independent, so the dynamic programme runs on one island at a time,
     not on a whole document.
     """
+    def chosen(rows: list) -> list[int]:
+        rows = sorted(rows, key=lambda r: (r.start, r.end))
+        return [rows[i].Index for i in schedule([(r.start, r.end, getattr(r, weight)) for r in rows])]
+
+    alone = F.col(weight) >= 0
+    return per_island(spans, doc, chosen, alone)
+
+
+def per_island(spans: DataFrame, doc: str, chosen, alone: Column | bool = True) -> DataFrame:
+    """``spans`` that ``chosen`` keeps of each overlap island (a list of rows to the indices kept).
+
+    A span that overlaps no other stays in the JVM and is kept if ``alone`` holds; the others are dealt by island into
+    groups that are many times the tasks, so no task gets an unbounded share.
+    """
     from groundmill.operators.relations import overlap_islands
 
-    cut = overlap_islands(spans, [doc])
+    cut = overlap_islands(spans, [doc]).withColumn("_n", F.count("*").over(W.partitionBy(doc, "island")))
+    tasks = 4 * int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut.where("_n > 1").withColumn("_bin", F.pmod(F.xxhash64(doc, "island"), F.lit(tasks)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "end"], kind="stable").reset_index(drop=True)
-        return pdf.loc[schedule(list(zip(pdf["start"], pdf["end"], pdf[weight], strict=True)))]
+        islands: dict[tuple, list] = {}
+        for r in pdf.itertuples():
+            islands.setdefault((getattr(r, doc), r.island), []).append(r)
+        return pdf.loc[[i for rows in islands.values() for i in chosen(rows)]].drop(columns=["_n", "_bin"])
 
-    return cut.groupBy(doc, "island").applyInPandas(run, cut.schema).drop("island")
+    many = dealt.groupBy("_bin").applyInPandas(run, cut.drop("_n").schema)
+    return cut.where((F.col("_n") == 1) & alone).drop("_n").unionByName(many).drop("island")
 
 
 def match_weight(length: Column, drug: Column, exact: Column) -> Column:
