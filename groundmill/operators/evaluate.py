@@ -77,12 +77,15 @@ def binary_metrics(rows: DataFrame, p: str = "p", y: str = "y", threshold: float
 def index_percentiles(rows: DataFrame, value: str, by: list[str], qs: tuple[float, ...] = (0.95, 0.99)) -> DataFrame:
     """Median, and the element at index floor(n q) of the ordered values (no interpolation), for each group.
 
-    Ranks come from a distributed sort within each group; no group is collected.
+    Groups are few by nature (stages, profiles): equal values are counted first, so a group's window sorts its distinct
+    values in one task.
     """
     w = W.partitionBy(*by)
-    ranked = rows.select(*by, value).withColumn("r", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    at = lambda q: F.max(F.when(F.col("r") == F.least(F.col("n") - 1, F.floor(F.col("n") * q)), F.col(value)))
-    mid = F.avg(F.when((F.col("r") == F.floor((F.col("n") - 1) / 2)) | (F.col("r") == F.floor(F.col("n") / 2)), F.col(value)))
+    held = rows.groupBy(*by, value).agg(F.count("*").alias("c")).withColumn("n", F.sum("c").over(w))
+    ranked = held.withColumn("to", F.sum("c").over(w.orderBy(value))).withColumn("from", F.col("to") - F.col("c"))
+    is_at = lambda i: (F.col("from") <= i) & (i < F.col("to"))
+    at = lambda q: F.max(F.when(is_at(F.least(F.col("n") - 1, F.floor(F.col("n") * q))), F.col(value)))
+    mid = (F.max(F.when(is_at(F.floor((F.col("n") - 1) / 2)), F.col(value))) + F.max(F.when(is_at(F.floor(F.col("n") / 2)), F.col(value)))) / 2
     return ranked.groupBy(*by).agg(F.max("n").alias("n"), mid.alias("p50"), *[at(q).alias(f"p{round(q * 100)}") for q in qs])
 
 

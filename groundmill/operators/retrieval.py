@@ -88,18 +88,23 @@ def phrase_cascade(mentions: DataFrame, aliases: DataFrame, k: int) -> DataFrame
     return top_k(best, k, order=[F.asc("stage"), F.desc("score"), F.asc("concept_id")])
 
 
+#: Distinct query terms up to this many are broadcast.
+BROADCAST_TERMS = 500_000
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 over distinct query terms: queries (mention_id, term), docs (concept_id, term), one row per token.
 
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); the calibrated score is s / (s + 4 x the query's terms).
-    Postings are filtered to query terms before the join, so the join carries only what can score.
+    Tokens are filtered to query terms before anything is shuffled (the terms are counted, and broadcast only up to
+    BROADCAST_TERMS), so only what can score moves; a text's length is one sum over its rows.
     """
     q = queries.select("mention_id", "term").distinct()
     n_terms = q.groupBy("mention_id").agg(F.count("*").alias("terms"))
-    tf = docs.groupBy("concept_id", "term").agg(F.count("*").alias("tf"))
-    lens = tf.groupBy("concept_id").agg(F.sum("tf").alias("len"))
+    lens = docs.groupBy("concept_id").agg(F.count("*").alias("len"))
     total = lens.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    post = tf.join(q.select("term").distinct(), "term", "left_semi")
+    wanted = q.select("term").distinct()
+    post = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted, "term", "left_semi").groupBy("concept_id", "term").agg(F.count("*").alias("tf"))
     df_ = post.groupBy("term").agg(F.count("*").alias("df"))
     weighed = post.join(df_, "term").join(lens, "concept_id").crossJoin(F.broadcast(total))  # one row of totals
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -125,9 +130,13 @@ def ngram_cosine(queries: DataFrame, docs: DataFrame, k: int, sizes: tuple[int,
     return top_k(s.where(F.col("score") >= least), k)
 
 
-def fuzzy(queries: DataFrame, docs: DataFrame, k: int, least: float = 0.72, shared: int = 2) -> DataFrame:
-    """Trigram blocking, then the larger of sequence ratio and token Jaccard."""
-    g = lambda df, i: df.select(i, F.explode(F.array_distinct(char_ngrams(F.col("key"), (3,)))).alias("g"))
+def fuzzy(queries: DataFrame, docs: DataFrame, k: int, least: float = 0.72, shared: int = 1) -> DataFrame:
+    """Trigram blocking, then the larger of sequence ratio and token Jaccard.
+
+    Trigrams are those of the key between blanks, and one shared trigram is enough, so a key always meets itself.
+    """
+    padded = F.concat(F.lit(" "), F.trim("key"), F.lit(" "))
+    g = lambda df, i: df.select(i, F.explode(F.array_distinct(char_ngrams(padded, (3,)))).alias("g"))
     near = g(queries, "mention_id").join(g(docs, "concept_id"), "g").groupBy("mention_id", "concept_id").agg(F.count("*").alias("m")).where(F.col("m") >= shared)
     near = near.join(queries.select("mention_id", F.col("key").alias("q")), "mention_id").join(docs.select("concept_id", "key"), "concept_id")
     score = F.greatest(sequence_ratio(F.col("q"), F.col("key")), set_jaccard(F.split("q", " "), F.split("key", " ")))

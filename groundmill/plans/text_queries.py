@@ -205,7 +205,11 @@ def token_similarity(spark, d):
     return p.join(q, "p_partkey").select("p_partkey", F.round(T.set_jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
-@query("token_edits")
+@query(
+    "token_edits",
+    """WITH p AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS a FROM part), e AS (SELECT q.p_partkey, CAST((p.a[1] <> q.a[1])::INT + (p.a[2] <> q.a[2])::INT AS INTEGER) AS edits FROM p AS q JOIN p ON p.p_partkey = q.p_partkey - 1)
+    SELECT p_partkey, edits, round(greatest(0, 1 - edits / 2.0), 6)::DOUBLE AS similarity FROM e""",
+)
 def token_edits(spark, d):
     p = _t(spark, d, "part").select("p_partkey", F.split(F.lower("p_name"), " ").alias("a"))
     q = p.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("a").alias("b"))
@@ -221,7 +225,10 @@ def exact_lookup(spark, d):
     part = _t(spark, d, "part")
     m = part.select(F.col("p_partkey").alias("mention_id"), T.normalize_for_match(F.upper("p_name"), nfkc=False).alias("key"))
     a = part.select(F.col("p_partkey").alias("concept_id"), T.normalize_for_match(F.col("p_name"), nfkc=False).alias("key"), F.lit(0).alias("alias_rank"))
-    return retrieval.exact_lookup(m, a, toneless=False).groupBy("mention_id").agg(F.min("concept_id").alias("concept_id"), F.count("*").alias("concepts"))
+    # each different key is looked up once; mentions join the answer, not the pairs
+    keys = m.select("key").distinct().withColumn("mention_id", F.col("key"))
+    found = retrieval.exact_lookup(keys, a, toneless=False).groupBy(F.col("mention_id").alias("key")).agg(F.min("concept_id").alias("concept_id"), F.count("*").alias("concepts"))
+    return m.join(found, "key").select("mention_id", "concept_id", "concepts")
 
 
 _WORDS = f"SELECT DISTINCT token, lang FROM ({_MENTIONS}) WHERE lang <> 'en'"

@@ -50,10 +50,18 @@ def publish(df: DataFrame, path: str, key: str) -> bool:
 
 
 def review_pack(docs: DataFrame, reviewers: list[str], fraction: float, key: str) -> DataFrame:
-    """Who reviews which document: by hash order the first ceil(fraction x n) go to all, the rest in turn."""
-    w = W.orderBy(F.sha2(F.col(key).cast("string"), 256), key)
+    """Who reviews which document: by hash order the first ceil(fraction x n) go to all, the rest in turn.
+
+    A document's place is the number of rows in the hash ranges before its own, at most 4096 of them, and its place there:
+    no window holds all documents.
+    """
+    hashed = docs.select(key, F.sha2(F.col(key).cast("string"), 256).alias("h")).withColumn("range", F.substring("h", 1, 3))
+    counts = hashed.groupBy("range").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1))  # a row per range
+    starts = counts.select("range", F.coalesce(before, F.lit(0)).alias("at"))
     n = docs.agg(F.count("*").alias("n"))
-    ranked = docs.select(key).withColumn("r", F.row_number().over(w) - 1).crossJoin(F.broadcast(n))  # one row
+    place = F.col("at") + F.row_number().over(W.partitionBy("range").orderBy("h", key)) - 1
+    ranked = hashed.join(F.broadcast(starts), "range").withColumn("r", place).crossJoin(F.broadcast(n))  # one row
     names = F.array(*[F.lit(r) for r in reviewers])
     shared = F.ceil(F.col("n") * fraction)
     to = F.when(F.col("r") < shared, names).otherwise(F.array(F.element_at(names, (F.pmod(F.col("r") - shared, F.lit(len(reviewers))) + 1).cast("int"))))
