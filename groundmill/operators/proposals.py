@@ -259,3 +259,94 @@ def resolve(proposals: DataFrame, doc: str) -> DataFrame:
     open_ = proposals.where("type is null").select(doc, "start", "end", "type", "score").distinct().withColumn("decision", F.lit("unresolved_type"))
     cols = [*key, "score", "decision"]
     return decided.select(*cols).unionByName(open_.select(*cols))
+
+
+def glued_aliases(matches: DataFrame, docs: DataFrame, doc: str, text: str, prefixes: tuple[str, ...] = (), suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """Dictionary matches without boundaries (doc, start, end, ...) that are glued to another match or to a known word part.
+
+    A side is free if no letter or digit stands there, or if another match ends or begins there, or a part of ``prefixes`` or
+    ``suffixes`` does; one side at least must be glued.  Neighbours are found by equal places, so no pairs are made.
+    """
+    held = matches.join(docs.select(doc, F.col(text).alias("_text")), doc)
+    ends = matches.select(doc, F.col("end").alias("start")).distinct().withColumn("_l", F.lit(True))
+    starts = matches.select(doc, F.col("start").alias("end")).distinct().withColumn("_r", F.lit(True))
+    held = held.join(ends, [doc, "start"], "left").join(starts, [doc, "end"], "left")
+    before, after = F.lower(F.substr("_text", F.lit(1), F.col("start"))), F.lower(F.substr("_text", F.col("end") + 1, F.lit(40)))
+    tail = before.rlike("(?U)(?<!\\w)(?:" + "|".join(prefixes) + ")$") if prefixes else F.lit(False)
+    head = after.rlike("(?U)^(?:" + "|".join(suffixes) + ")(?!\\w)") if suffixes else F.lit(False)
+    left, right = F.coalesce("_l", F.lit(False)) | tail, F.coalesce("_r", F.lit(False)) | head
+    open_left, open_right = ~before.rlike(r"(?U)[\p{L}\p{N}]$") | left, ~after.rlike(r"(?U)^[\p{L}\p{N}]") | right
+    return held.where(open_left & open_right & (left | right)).withColumn("score", F.lit(0.74)).select(*matches.columns, "score")
+
+
+def gated_aliases(matches: DataFrame, gates: DataFrame, rules: DataFrame, doc: str) -> DataFrame:
+    """Short aliases admitted by context: matches (doc, start, end, rule_id) of ``rules`` (rule_id, required) with a gate.
+
+    ``gates`` (doc, start, end, gate) are the stretches where a piece of structural evidence holds: a section, a list item, a
+    line, the surroundings of a drug.  A match needs one of its rule's gates around it; ``accepted`` lists them.
+    """
+    r = F.broadcast(rules.select("rule_id", F.explode("required").alias("gate")))
+    asked = matches.join(r, "rule_id")
+    g = gates.select(doc, "gate", F.col("start").alias("_gs"), F.col("end").alias("_ge")).distinct()
+    tagged = asked.select(doc, "gate", "start", "end", "rule_id", F.lit(1).alias("_m")).unionByName(g.select(doc, "gate", F.col("_gs").alias("start"), F.col("_ge").alias("end"), F.lit(None).cast("string").alias("rule_id"), F.lit(0).alias("_m")))
+    w = W.partitionBy(doc, "gate").orderBy("start", "_m").rowsBetween(W.unboundedPreceding, W.currentRow)
+    held = tagged.withColumn("_cover", F.max(F.when(F.col("_m") == 0, F.col("end"))).over(w)).where("_m = 1 and _cover >= end")
+    accepted = held.groupBy(doc, "start", "end", "rule_id").agg(F.array_sort(F.collect_set("gate")).alias("accepted"))
+    return matches.join(accepted, [doc, "start", "end", "rule_id"]).withColumn("score", F.lit(0.72))
+
+
+def resolve_types(spans: DataFrame, docs: DataFrame, doc: str, text: str, cues: dict[str, tuple[str, str]], pair: tuple[str, str] = ("DISEASE", "SYMPTOM"), radius: int = 64) -> DataFrame:
+    """``spans`` (doc, start, end, types) with (type, reason): one of the types an extractor proposed, or none.
+
+    ``cues``: per type a pattern for the text before and one for the text after.  A single type stands; of ``pair`` the one
+    whose cue before the span is nearest; otherwise the first type, in the order of ``cues``, that has a cue.
+    """
+    held = spans.join(docs.select(doc, F.col(text).alias("_text")), doc)
+    lo = F.greatest(F.col("start") - radius, F.lit(0))
+    left, right = F.substr("_text", lo + 1, F.col("start") - lo), F.substr("_text", F.col("end") + 1, F.lit(radius))
+    gap = lambda t: F.when(left.rlike(cues[t][0]), F.length(left) - F.coalesce(F.element_at(tiles(left, cues[t][0]), -1)["end"], F.lit(0)))
+    one, two = pair
+    both = F.array_contains("types", one) & F.array_contains("types", two) & (F.size("types") == 2)
+    a, b = (gap(t) if t in cues else F.lit(None).cast("int") for t in pair)
+    nearest = F.when(b.isNotNull() & (a.isNull() | (b < a)), two).when(a.isNotNull(), one)
+    other = F.coalesce(*[F.when(F.array_contains("types", t) & (left.rlike(p) | right.rlike(q)), F.lit(t)) for t, (p, q) in cues.items() if t not in pair], F.lit(None).cast("string"))
+    kind = F.when(F.size("types") == 1, F.get("types", F.lit(0))).when(both, nearest).otherwise(other)
+    reason = F.when(F.size("types") == 1, "unique_type").when(kind.isNotNull(), "context").otherwise("context_missing")
+    return held.withColumn("type", kind).withColumn("reason", reason).drop("_text")
+
+
+def number_entities(spans: DataFrame, doc: str, kind: str = "type") -> DataFrame:
+    """``spans`` with ids E1, E2, ... by place and type within each document."""
+    return spans.withColumn("entity_id", F.concat(F.lit("E"), F.row_number().over(W.partitionBy(doc).orderBy("start", "end", kind)).cast("string")))
+
+
+def run_rules(docs: DataFrame, foundation: list, dependent: list, doc: str) -> DataFrame:
+    """The rule engine: foundation extractors see documents, dependent ones also what was found, one resolution decides.
+
+    An extractor is a function of documents (and proposals) to proposals (doc, start, end, type, source, score, atomic,
+    nested); selected spans are numbered by place.
+    """
+    found = foundation[0](docs)
+    for f in foundation[1:]:
+        found = found.unionByName(f(docs))
+    whole = found
+    for f in dependent:
+        whole = whole.unionByName(f(docs, found))
+    return number_entities(resolve(whole, doc).where("decision = 'selected'").drop("decision"), doc)
+
+
+def render_scenarios(rows: DataFrame, template: str = "template", entities: str = "entities") -> DataFrame:
+    """``rows`` with (text, spans, problem): templates with ``{id}`` places filled from ``entities`` (map id to surface).
+
+    Offsets are sums over the pieces; an id without an entity, or an entity without a place, is a ``problem``.
+    """
+    place = r"\{([A-Za-z0-9_]+)\}"
+    ids = F.regexp_extract_all(template, F.lit(place), F.lit(1))
+    gaps = F.split(template, place, -1)
+    parts = F.flatten(F.zip_with(gaps, ids, lambda g, i: F.array(F.struct(g.alias("text"), F.lit(None).cast("string").alias("id")), F.struct(F.element_at(entities, i).alias("text"), i.alias("id")))))
+    kept = F.filter(parts, lambda p: p["text"].isNotNull())
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<id:string,start:int,end:int>>").alias("out"))
+    step = lambda a, p: F.struct((a["at"] + F.length(p["text"])).alias("at"), F.when(p["id"].isNull(), a["out"]).otherwise(F.array_append(a["out"], F.struct(p["id"].alias("id"), a["at"].alias("start"), (a["at"] + F.length(p["text"])).alias("end")))).alias("out"))
+    keys = F.map_keys(entities)
+    problem = F.when(F.size(F.array_except(ids, keys)) > 0, "unknown_entity").when(F.size(F.array_except(keys, ids)) > 0, "missing_entity")
+    return rows.withColumns({"text": F.array_join(F.transform(kept, lambda p: p["text"]), ""), "spans": F.aggregate(kept, begin, step, lambda a: a["out"]), "problem": problem})
