@@ -48,16 +48,31 @@ def _equal(a: DataFrame, b: DataFrame) -> bool:
     return _mark(a) == _mark(b) and a.exceptAll(b).isEmpty()
 
 
+#: Tasks that one node's links are dealt over.
+SALTS = 16
+
+
+def _with_least(links: DataFrame, key: str, value: str) -> DataFrame:
+    """``links`` with ``m``, the least ``value`` of their ``key``: a hub's links stay dealt over SALTS tasks.
+
+    Each of a key's parts has its least value first; the least of these goes back to the parts, and from there to the links.
+    """
+    dealt = links.withColumn("_s", F.pmod(F.xxhash64(value), F.lit(SALTS)))
+    parts = dealt.groupBy(key, "_s").agg(F.min(value).alias("m"))
+    least = parts.groupBy(key).agg(F.min("m").alias("m"))
+    return dealt.join(parts.select(key, "_s").join(least, key), [key, "_s"]).drop("_s")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): every node on an edge and the least node it reaches, by alternating star contraction.
 
-    Links stay in tables; the rounds grow with the logarithm of the longest path.
+    Links stay in tables; the rounds grow with the logarithm of the longest path.  A node with very many links (a hub)
+    has them dealt over several tasks.
     """
     e = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "edges")
     while True:
         both = e.union(e.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = _with_least(both, "u", "v").where("v > u").withColumn("m", F.least("m", "u")).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         found = cut(small.union(low.select("a", "m")).distinct(), "edges")
@@ -70,7 +85,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def closure(edges: DataFrame, depth: int, paths: bool = False) -> DataFrame:
-    """(node, ancestor, distance[, path]): least distances along (child, parent) up to ``depth``, by path doubling.
+    """(node, ancestor, distance[, path]): least distances along (child, parent) up to ``depth``, a step a round.
 
     A round joins the known steps with the pairs found last (frontier), keeps the least distance of each new pair and
     stops when there is none: a cycle ends there, and a pair once found is not walked again.  With ``paths`` the least
