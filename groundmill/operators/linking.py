@@ -141,3 +141,31 @@ def heuristic_rerank(candidates: DataFrame) -> DataFrame:
     s = F.when(F.col("strength_disjoint"), F.col("score") * 0.1).otherwise(s)
     out = candidates.withColumn("reranked", F.round(clamp(s), 6))
     return out.withColumn("rank", F.row_number().over(W.partitionBy("mention_id").orderBy(F.desc("reranked"), "code")))
+
+
+def second_pass(candidates: DataFrame, assigned: DataFrame, edges: DataFrame, most: float = 0.04, support: int = 2, saturation: int = 10) -> DataFrame:
+    """``candidates`` (doc, mention_id, code, score) ranked anew by what the document's other mentions were assigned.
+
+    ``assigned``: doc, mention_id, code of the first pass.  Each mention's context are the codes assigned to others of its
+    document; identities never change, only scores and ranks.
+    """
+    context = candidates.select("doc", "mention_id").distinct().join(assigned.select("doc", F.col("mention_id").alias("_other"), F.col("code").alias("context_code")), "doc")
+    context = context.where("_other <> mention_id").select("mention_id", "context_code").distinct()
+    bonus = graph_evidence(candidates.select("mention_id", "code").distinct(), context, edges, most, support, saturation)
+    held = candidates.join(bonus, ["mention_id", "code"], "left").withColumn("score", F.round(F.least(F.lit(1.0), F.col("score") + F.coalesce("bonus", F.lit(0.0))), 6)).drop("bonus")
+    return held.withColumn("rank", F.row_number().over(W.partitionBy("mention_id").orderBy(F.desc("score"), "code")))
+
+
+def generate_candidates(mentions: DataFrame, retrievers: list, rerank=None, limit: int = 20, threshold: float = 0.5, margin: float = 0.25) -> DataFrame:
+    """Retrievers in turn, fused, reranked and qualified: (mention_id, code, score, rank, reason).
+
+    A retriever is a function of mentions to (mention_id, code, source, score); ``rerank`` of candidates to candidates.
+    """
+    from groundmill.operators import retrieval
+
+    found = retrievers[0](mentions)
+    for r in retrievers[1:]:
+        found = found.unionByName(r(mentions))
+    fused = retrieval.fuse(found)
+    fused = rerank(fused) if rerank else fused
+    return qualify(retrieval.top_k(fused, limit, order=[F.desc("score"), F.asc("code")]), threshold, margin)

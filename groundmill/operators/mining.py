@@ -196,3 +196,18 @@ def simhash_pairs(docs: DataFrame, doc: str, text: str, bands: int = 4, apart: i
     near = near.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"), d.cast("int").alias("distance")).where(F.col("distance") <= apart).distinct()
     same = sig.join(reps.withColumnRenamed("doc", "lead"), "sig").where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"), F.lit(0).alias("distance"))
     return near.unionByName(same)
+
+
+def recognition_knowledge(mentions: DataFrame, known: DataFrame, occurrences: int = 2, documents: int = 2, share: float = 0.9) -> DataFrame:
+    """Surfaces good enough to be recognised: (norm, entity_type, occurrences, documents, share, decision).
+
+    ``mentions``: norm, entity_type, doc; ``known``: norms of the dictionary.  A surface's leading type needs ``share`` of
+    its mentions; the decision is already_known, ambiguous_type, low_support or accepted.
+    """
+    per = mentions.groupBy("norm", "entity_type", "doc").agg(F.count("*").alias("n")).groupBy("norm", "entity_type").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))
+    top = per.groupBy("norm").agg(F.sum("occurrences").alias("_all"), F.max(F.struct("occurrences", "documents", "entity_type")).alias("t"))
+    held = top.select("norm", "t.entity_type", "t.occurrences", "t.documents", F.round(F.col("t.occurrences") / F.col("_all"), 6).alias("share"))
+    held = held.join(known.select("norm").distinct().withColumn("_k", F.lit(True)), "norm", "left")
+    low = (F.col("occurrences") < occurrences) | (F.col("documents") < documents)
+    why = F.when(F.col("_k"), "already_known").when(F.col("share") < share, "ambiguous_type").when(low, "low_support").otherwise("accepted")
+    return held.withColumn("decision", why).drop("_k")

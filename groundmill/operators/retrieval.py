@@ -7,6 +7,8 @@ total order, so nothing depends on partitioning.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -149,13 +151,22 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
 
 
+#: Query vectors of one pass.
+QUERIES = 65_536
+
+
 def dense(queries: DataFrame, vectors: DataFrame, k: int, by: list[str] | None = None, rows: int = 4096) -> DataFrame:
     """Cosine top-k of a query set against all vectors: queries (mention_id, v), vectors (concept_id, v), both with ``by``.
 
-    Queries are a stated, bounded set: they are sent to each batch of vectors in blocks of ``rows``, a batch
-    keeps its own best ``k`` per query, and a window merges these, so only k rows per batch and query move.
+    Queries are a stated set, counted first: up to QUERIES are sent to each batch of vectors in blocks of ``rows``, more in
+    several passes; a batch keeps its own best ``k`` per query, and a window merges these, so only k rows per batch and
+    query move.
     """
     by = by or []
+    passes = max(1, -(-queries.count() // QUERIES))
+    if passes > 1:
+        parts = [dense(queries.where(F.pmod(F.xxhash64("mention_id"), F.lit(passes)) == p), vectors, k, by, rows) for p in range(passes)]
+        return reduce(DataFrame.unionByName, parts)
     sent = queries.select("mention_id", "v", *by).collect()
     qv = np.array([r["v"] for r in sent], np.float64).reshape(len(sent), -1)
     qv = qv / np.maximum(np.linalg.norm(qv, axis=1, keepdims=True), 1e-12) if len(sent) else qv

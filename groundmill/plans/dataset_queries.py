@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from groundmill.operators import datasets
+from groundmill.operators import datasets, linking, mining, proposals
 from groundmill.plans.registry import query
 
 
@@ -192,3 +192,25 @@ def pipeline_report(spark, d):
     e = _t(spark, d, "events")
     count = lambda df: df.groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("value"))
     return datasets.pipeline_report(count(e.where("user_id % 2 = 0")), count(e.where("user_id % 3 = 0")))
+
+
+@query("second_pass", """WITH c AS (SELECT o_custkey AS doc, o_orderkey AS m, l_partkey % 60 AS code, round(max(l_discount) * 5, 4) AS score FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+a AS (SELECT doc, m, code FROM c QUALIFY row_number() OVER (PARTITION BY m ORDER BY score DESC, code) = 1), e AS (SELECT p_partkey % 60 AS h, p_size AS t, count(*) AS n FROM part GROUP BY ALL HAVING count(*) >= 2),
+b AS (SELECT h, t, n FROM e UNION ALL SELECT t, h, n FROM e), x AS (SELECT DISTINCT c.m, a.code AS k FROM c JOIN a ON a.doc = c.doc AND a.m <> c.m),
+s AS (SELECT c.m, c.code, x.k, max(least(1, ln(1 + n) / ln(11)) * 0.9) AS s FROM (SELECT DISTINCT m, code FROM c) c JOIN x ON x.m = c.m JOIN b ON b.h = c.code AND b.t = x.k GROUP BY ALL),
+g AS (SELECT m, code, round(0.04 * (1 - exp(sum(ln(greatest(1 - s, 1e-12))))), 6) AS bonus FROM s GROUP BY ALL)
+SELECT c.m AS mention_id, c.code, round(least(1, score + coalesce(bonus, 0)), 4) AS score FROM c LEFT JOIN g ON g.m = c.m AND g.code = c.code""")
+def second_pass(spark, d):
+    j = _t(spark, d, "orders").join(_t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    c = j.groupBy(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("mention_id"), (F.col("l_partkey") % 60).alias("code")).agg(F.round(F.max("l_discount") * 5, 4).alias("score"))
+    first = proposals.deduplicate(c, ["mention_id"], F.desc("score"), F.col("code"))
+    edges = _t(spark, d, "part").groupBy((F.col("p_partkey") % 60).alias("head"), F.col("p_size").cast("long").alias("tail")).agg(F.count("*").alias("support")).withColumn("confidence", F.lit(0.9))
+    return linking.second_pass(c, first, edges).select("mention_id", "code", F.round("score", 4).alias("score"))
+
+
+@query("recognition_knowledge", """WITH m AS (SELECT lower(p_name) AS norm, CASE WHEN p_size % 10 = 0 THEN 'DRUG' ELSE 'DISEASE' END AS ty, p_brand AS doc FROM part), p AS (SELECT norm, ty, count(*) AS o, count(DISTINCT doc) AS d FROM m GROUP BY ALL),
+t AS (SELECT norm, sum(o) AS a, max((o, d, ty)) AS t FROM p GROUP BY norm), h AS (SELECT norm, t[1] AS o, t[2] AS d, t[3] AS ty, round(t[1] / a, 6) AS share FROM t)
+SELECT norm, ty AS entity_type, o AS occurrences, d AS documents, share, CASE WHEN norm LIKE 'red%' THEN 'already_known' WHEN share < 0.8 THEN 'ambiguous_type' WHEN o < 2 OR d < 2 THEN 'low_support' ELSE 'accepted' END AS decision FROM h""")
+def recognition_knowledge(spark, d):
+    m = _t(spark, d, "part").selectExpr("lower(p_name) as norm", "case when p_size % 10 = 0 then 'DRUG' else 'DISEASE' end as entity_type", "p_brand as doc")
+    return mining.recognition_knowledge(m, m.where("norm like 'red%'"), share=0.8)
