@@ -285,13 +285,27 @@ def fuzzy_top(spark, d):
     return retrieval.fuzzy(n.select(F.col("key").alias("mention_id"), "key"), n.select(F.col("key").alias("concept_id"), "key"), 5)
 
 
-@query("ngram_cosine_top")
+@query(
+    "ngram_cosine_top",
+    """WITH n AS (SELECT DISTINCT lower(p_name) AS key FROM part), s AS (SELECT key, unnest([3, 4, 5]) AS s FROM n), g AS (SELECT key, substr(key, i, s) AS g FROM (SELECT key, s, unnest(generate_series(1, length(key) - s + 1)) AS i FROM s)),
+    tf AS (SELECT key, g, count(*) AS tf FROM g GROUP BY ALL), idf AS (SELECT g, ln(1 + (SELECT count(*) FROM n) / (1 + count(*))) AS idf FROM tf GROUP BY g), w AS (SELECT key, g, tf * idf AS w FROM tf JOIN idf USING (g)),
+    z AS (SELECT key, sqrt(sum(w * w)) AS z FROM w GROUP BY key), c AS (SELECT a.key AS m, b.key AS c, sum(a.w * b.w) AS dot FROM w a JOIN w b USING (g) GROUP BY ALL),
+    r AS (SELECT m, c, round(dot / (x.z * y.z), 6) AS score FROM c JOIN z x ON x.key = m JOIN z y ON y.key = c)
+    SELECT m AS mention_id, c AS concept_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY score DESC, c) AS rank FROM r WHERE score >= 0.12) WHERE rank <= 5""",
+)
 def ngram_cosine_top(spark, d):
     n = _t(spark, d, "part").select(F.lower("p_name").alias("key")).distinct()
-    return retrieval.ngram_cosine(n.select(F.col("key").alias("mention_id"), "key"), n.select(F.col("key").alias("concept_id"), "key"), 5)
+    found = retrieval.ngram_cosine(n.select(F.col("key").alias("mention_id"), "key"), n.select(F.col("key").alias("concept_id"), "key"), 5)
+    return found.select("mention_id", "concept_id", F.round("score", 4).alias("score"))
 
 
-@query("phrase_cascade")
+@query(
+    "phrase_cascade",
+    """WITH n AS (SELECT DISTINCT lower(p_name) AS key, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda t: length(t) >= 3)) AS w FROM part),
+    c AS (SELECT q.key AS m, a.key AS c, len(list_intersect(q.w, a.w)) AS k, len(q.w) AS n FROM n q JOIN n a ON len(list_intersect(q.w, a.w)) > 0),
+    s AS (SELECT m, c, CASE WHEN contains(' ' || c || ' ', ' ' || m || ' ') THEN 0 WHEN k = n AND n > 1 THEN 1 ELSE 2 END AS stage, k / n AS score FROM c)
+    SELECT m AS mention_id, c AS concept_id, stage, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY stage, score DESC, c) AS rank FROM s) WHERE rank <= 5""",
+)
 def phrase_cascade(spark, d):
     n = _t(spark, d, "part").select(F.lower("p_name").alias("key")).distinct()
     return retrieval.phrase_cascade(n.select(F.col("key").alias("mention_id"), "key"), n.select(F.col("key").alias("concept_id"), "key"), 5)
