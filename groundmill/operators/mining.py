@@ -65,9 +65,12 @@ def cooccurrence(items: DataFrame, context: str, doc: str, node: str, order: str
         items = items.withColumn("_r", F.row_number().over(W.partitionBy(context).orderBy(order, node))).where(F.col("_r") <= cap).drop("_r")
     a = items.select(context, doc, F.col(node).alias("head"), F.col(order).alias("o1"))
     b = items.select(context, F.col(node).alias("tail"), F.col(order).alias("o2"))
-    pairs = a.join(b, context).where("head < tail")
-    if gap is not None:
-        pairs = pairs.where(F.abs(F.col("o1") - F.col("o2")) <= gap)
+    if gap is None:
+        pairs = a.join(b, context).where("head < tail")
+    else:  # stretches as wide as the gap: an equality on context and stretch, at most three of them an item
+        at = lambda c: F.floor(F.col(c) / max(gap, 1)).cast("long")
+        near = a.withColumn("_b", F.explode(F.sequence(at("o1") - 1, at("o1") + 1)))
+        pairs = near.join(b.withColumn("_b", at("o2")), [context, "_b"]).where("head < tail").where(F.abs(F.col("o1") - F.col("o2")) <= gap)
     per = pairs.groupBy("head", "tail", doc).agg(F.count("*").alias("n"))
     return per.groupBy("head", "tail").agg(F.count("*").alias("support"), F.sum("n").alias("occurrences")).where(F.col("support") >= support)
 

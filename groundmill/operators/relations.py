@@ -7,10 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Signs of a stretch of a document that spans are met in.
+STRETCH = 512
+
+
 def contained(inner: DataFrame, outer: DataFrame, key: list[str], name: str) -> DataFrame:
-    """Each inner span with the first outer span that holds it; ``outer`` has start, end and ``name``."""
+    """Each inner span with the first outer span that holds it; ``outer`` has start, end and ``name``.
+
+    Documents are cut into stretches of STRETCH signs: an outer span stands in each that it touches, an inner one in that
+    of its start, so the join is an equality and a long document makes no pairs of all its spans.
+    """
+    at = lambda c: F.floor(c / STRETCH).cast("long")
     o = outer.select(*key, F.col("start").alias("o_start"), F.col("end").alias("o_end"), name)
-    hit = inner.join(o, key).where("o_start <= start and end <= o_end")
+    o = o.withColumn("_b", F.explode(F.sequence(at(F.col("o_start")), at(F.greatest(F.col("o_start"), F.col("o_end"))))))
+    hit = inner.withColumn("_b", at(F.col("start"))).join(o, [*key, "_b"]).where("o_start <= start and end <= o_end").drop("_b")
     first = F.row_number().over(W.partitionBy(*key, "start", "end").orderBy("o_start", "o_end"))
     return hit.withColumn("_r", first).where("_r = 1").drop("_r")
 
