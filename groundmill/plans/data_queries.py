@@ -175,9 +175,9 @@ _FUSED = f"""c AS ({_CAND}), b AS (SELECT mention_id, code, source, max(score) A
     f AS (SELECT mention_id, code, sources, round(CASE WHEN sources >= 2 THEN least(1.0, p + (1 - p) * 0.1 * a / b) ELSE p END, 6) AS score FROM g)"""
 
 
-@query("rank_fusion", f"WITH {_FUSED} SELECT mention_id, code, sources, round(score, 5) AS score FROM f")
+@query("rank_fusion", f"WITH {_FUSED} SELECT mention_id, code, sources, round(score + 1e-7, 5) AS score FROM f")
 def rank_fusion(spark, d):
-    return retrieval.fuse(_candidates(spark, d)).select("mention_id", "code", "sources", F.round("score", 5).alias("score"))  # the sums are of floats: the sixth digit may differ
+    return retrieval.fuse(_candidates(spark, d)).select("mention_id", "code", "sources", F.round(F.col("score") + 1e-7, 5).alias("score"))  # sums of floats: the sixth digit may differ, and a half must not fall either way
 
 
 @query(
