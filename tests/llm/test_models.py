@@ -81,7 +81,7 @@ def test_toxicity(spark):
     got = toxicity.predict(docs, chain).join(labels.where(part), "doc_id").join(docs.select("doc_id", "lang").distinct(), "doc_id").collect()
     hits = {k: [r.predicted for r in got if r.toxic and (r.lang == "en") == k] for k in (True, False)}
     print("held-out toxic, en and others:", {k: (sum(v), len(v)) for k, v in hits.items()})
-    # all held-out toxic rows count; the tables label texts in other languages toxic without a word that tells them
+    # all held-out toxic rows count, whatever their language; other languages have few labels to learn from
     assert sum(map(sum, hits.values())) >= 0.5 * sum(map(len, hits.values())) and np.mean(hits[True]) > 0.8
     assert np.mean([r.predicted for r in got if not r.toxic]) < 0.01
     rows = toxicity.predict(odd(spark), chain).collect()
