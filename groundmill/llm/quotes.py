@@ -26,8 +26,9 @@ from groundmill.llm._store import cut, release
 _LEVEL = re.compile(r"^[ \t]{0,3}((?:>[ \t]?)+)")
 #: Signs of a normalised passage below which it links to nothing.
 LEAST = 8
-#: Base of the rolling hash and its inverse modulo 2^64, and bits of the table that says which hashes occur in quotes.
-BASE, TABLE = 0x9E3779B97F4A7C15, 22
+#: Base of the rolling hash and its inverse modulo 2^64, and bits of a slot of the table that says which hashes occur in
+#: quotes; each hash has two slots.
+BASE, TABLE = 0x9E3779B97F4A7C15, 24
 INVERSE = pow(BASE, -1, 1 << 64)
 #: A line such as "On Monday, Ann wrote:" goes with the quote below it.
 _LEAD = re.compile(r"^.{0,200}\b(?:wrote|writes|said|écrit|schrieb|escribió)\s*:\s*$", re.I)
@@ -84,11 +85,11 @@ def _codes(words: list[str]) -> np.ndarray:
 
 
 def _slots(codes: np.ndarray, n: int) -> np.ndarray:
-    """The table's slot of each run of ``n`` words, by a rolling hash."""
+    """The table's two slots of each run of ``n`` words as one number, by a rolling hash."""
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * _powers(BASE, len(codes))[1:])])
     x = (sums[n:] - sums[:-n]) * _powers(INVERSE, len(codes))[: len(codes) - n + 1] + np.uint64(n)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x ^ (x >> np.uint64(29))) >> np.uint64(64 - TABLE)).astype(np.int64)
+    return ((x ^ (x >> np.uint64(29))) >> np.uint64(64 - 2 * TABLE)).astype(np.int64)
 
 
 def _runs(passage: str) -> list[tuple[str, int, int]]:
@@ -119,7 +120,8 @@ def _found(sent):
                 codes, owner = _codes(words), np.array(owner, np.int64)
                 for n in lengths:
                     if n <= len(words):
-                        hit = np.flatnonzero(table[_slots(codes, n)] & (owner[: len(words) - n + 1] == owner[n - 1 :]))
+                        slots = _slots(codes, n)
+                        hit = np.flatnonzero(table[slots >> TABLE] & table[slots & ((1 << TABLE) - 1)] & (owner[: len(words) - n + 1] == owner[n - 1 :]))
                         for p in hit.tolist():
                             if h := key(" ".join(words[p : p + n])):
                                 hashes[owner[p]].add("r" + h)
@@ -165,8 +167,12 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     parsed = cut(base.mapInArrow(_parsed, kind), "messages")
     quoted = parsed.where("conv_id is not null and turn is not null and size(quotes) > 0").select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.hash", "q.words", "q.slot").distinct()
     quoted = cut(quoted, "quotes")
-    table = np.zeros(1 << TABLE, bool)
-    table[[r[0] for r in quoted.where("slot is not null").select("slot").distinct().collect()]] = True  # at most the table's slots
+    slot = F.explode(F.array(F.shiftright("slot", TABLE), F.col("slot").bitwiseAND(F.lit((1 << TABLE) - 1))))
+    words = quoted.where("slot is not null").select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+    got = words.toPandas()  # at most 2^18 words of 64 slots
+    packed = np.zeros(1 << (TABLE - 6), np.int64)
+    packed[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    table = np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
     lengths = sorted(r[0] for r in quoted.where("words is not null").select("words").distinct().collect())
     bodies = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", "body")
     sent = messages.sparkSession.sparkContext.broadcast((lengths, table))
