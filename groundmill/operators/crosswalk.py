@@ -14,29 +14,36 @@ def crosswalk(entries: DataFrame, concepts: DataFrame, aliases: DataFrame, polic
 
     ``entries``: term_id, entity_type, source_label, norm.  ``policies``: policy_id, source_entity_type, source_label
     (null: any other label), target_types, code_systems (arrays); a short table.  A surface whose matches for one target
-    type reach ``limit`` is ``ambiguous_truncated``; ``candidates`` lists the first ``keep`` concept ids.
+    type reach ``limit`` is ``ambiguous_truncated``; ``candidates`` lists the first ``keep`` concept ids.  Terms of one surface and policy
+    are met once together, so the work grows with the surfaces and concepts, not with terms by concepts; a term with several
+    rows is counted over all of them.
     """
     p = F.broadcast(policies.select("policy_id", F.col("source_entity_type").alias("entity_type"), F.col("source_label").alias("_label"), "target_types", "code_systems"))
     own = entries.join(p.where("_label is not null"), (entries["entity_type"] == p["entity_type"]) & (entries["source_label"] == F.col("_label"))).drop(p["entity_type"])
     rest = entries.join(own.select("term_id"), "term_id", "left_anti")
     rest = rest.join(p.where("_label is null"), "entity_type", "left").select(own.columns)
-    asked = own.unionByName(rest)
+    asked = own.unionByName(rest).withColumn("_n", F.count("*").over(W.partitionBy("term_id")))
+    by_norm = F.concat_ws("\0", F.lit("norm"), "norm", "policy_id", F.to_json(F.struct("target_types", "code_systems")))
+    key = F.when(F.col("_n") == 1, by_norm).otherwise(F.concat_ws("\0", F.lit("term"), "term_id"))
+    asked = asked.withColumn("_key", F.when(F.col("term_id").isNotNull() & F.col("policy_id").isNotNull() & F.col("norm").isNotNull(), key))
+    sought = asked.where("_key is not null").select("_key", "_n", "norm", "target_types", "code_systems")
+    sought = sought.where("_n = 1").distinct().unionByName(sought.where("_n > 1")).drop("_n")
     names = aliases.select("norm", "concept_id").distinct().join(concepts.select("concept_id", "code_system", "code", "semantic_type"), "concept_id")
-    met = asked.where("policy_id is not null").join(names, "norm").where("array_contains(target_types, semantic_type) and array_contains(code_systems, code_system)")
-    per_type = met.groupBy("term_id", "semantic_type").agg(F.count("*").alias("n")).groupBy("term_id").agg(F.max("n").alias("most"))
-    order = W.partitionBy("term_id").orderBy("code_system", F.coalesce("code", F.lit("")), "concept_id")
-    ranked = met.withColumn("_r", F.row_number().over(order))
-    key = F.when(F.col("code").isNotNull(), F.struct("code_system", "code"))
-    tally = ranked.groupBy("term_id").agg(
-        F.count("*").alias("concepts"), F.count_distinct(key).alias("codes"), F.count(F.when(F.col("code").isNull(), 1)).alias("uncoded"),
-        F.array_sort(F.collect_list(F.when(F.col("_r") <= keep, F.struct("_r", "concept_id")))).alias("_c"),
-    ).join(per_type, "term_id")
+    met = sought.join(names, "norm").where("array_contains(target_types, semantic_type) and array_contains(code_systems, code_system)")
+    cells = met.groupBy("_key", "semantic_type", "code_system", "code").agg(F.count("*").alias("n"))
+    per_type = cells.groupBy("_key", "semantic_type").agg(F.sum("n").alias("n")).groupBy("_key").agg(F.max("n").alias("most"))
+    code = F.when(F.col("code").isNotNull(), F.struct("code_system", "code"))
+    tally = cells.groupBy("_key").agg(F.sum("n").alias("concepts"), F.count_distinct(code).alias("codes"), F.sum(F.when(F.col("code").isNull(), F.col("n")).otherwise(0)).alias("uncoded"))
+    order = W.partitionBy("_key").orderBy("code_system", F.coalesce("code", F.lit("")), "concept_id")
+    first = met.select("_key", "code_system", "code", "concept_id").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= keep)
+    first = first.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_r", "concept_id"))).alias("_c"))
+    tally = tally.join(per_type, "_key").join(first, "_key", "left")
     status = (
         F.when(F.col("policy_id").isNull(), "skipped_no_policy").when(F.col("most") >= limit, "ambiguous_truncated").when(F.col("concepts").isNull(), "unmatched")
         .when(F.col("codes") == 0, "concept_only_exact").when(F.col("concepts") == 1, "unique_concept_exact")
         .when((F.col("codes") == 1) & (F.col("uncoded") == 0), "unique_code_exact").otherwise("ambiguous_code_exact")
     )
-    return asked.join(tally, "term_id", "left").withColumn("status", status).select(
+    return asked.join(tally, "_key", "left").withColumn("status", status).select(
         *entries.columns, "policy_id", "status", F.coalesce("concepts", F.lit(0)).alias("concepts"), F.transform("_c", lambda x: x["concept_id"]).alias("candidates")
     )
 
