@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
+import operator
 import re
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from groundmill.operators.rounds import cut
+
 
 def content_id(prefix: str, *parts: Column) -> Column:
     """``prefix:`` and 24 hex digits of the hash of the parts, separated by a zero byte; nulls count as empty."""
@@ -167,14 +173,13 @@ _WORD = re.compile(r"\w+")
 def simhash64(text: str) -> int:
     """64 bits by majority over the hashed 3-word shingles of the folded text; ties give 1."""
     folded = " ".join(unicodedata.normalize("NFKC", text).casefold().split())
-    w = _WORD.findall(folded)
-    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [" ".join(w)]
-    votes = [0] * 64
-    for g in grams:
-        h = int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big")
-        for bit in range(64):
-            votes[bit] += 1 if h >> (63 - bit) & 1 else -1
-    return sum(1 << (63 - bit) for bit in range(64) if votes[bit] >= 0)
+    w = [x.encode() for x in _WORD.findall(folded)]
+    grams = [b" ".join(g) for g in zip(w, w[1:], w[2:])] or [b" ".join(w)]
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(grams), 1 << 14):
+        hashed = b"".join([hashlib.blake2b(g, digest_size=8).digest() for g in grams[at : at + (1 << 14)]])
+        ones += np.unpackbits(np.frombuffer(hashed, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones >= len(grams)).tobytes(), "big")
 
 
 @F.pandas_udf(T.LongType())
@@ -185,18 +190,27 @@ def _simhash(s: pd.Series) -> pd.Series:
 def simhash_pairs(docs: DataFrame, doc: str, text: str, bands: int = 4, apart: int = 3) -> DataFrame:
     """Links (a, b, distance) between texts whose fingerprints differ in at most ``apart`` bits.
 
-    With more bands than bits that may differ, one band is equal, so the join on bands loses none.  Texts
-    with one fingerprint are linked to the least of them only, so a group of copies gives no pairs.
+    A fingerprint is cut into one block more than ``bands``.  With more bands than bits that may differ, at least two blocks
+    (``bands + 1 - apart``) are equal, so the join on every choice of so many blocks loses none; a pair counts in the first
+    choice that it meets in.  Texts with one fingerprint are linked to the least of them only, so a group of copies gives no
+    pairs.
     """
-    sig = docs.select(F.col(doc).alias("doc"), _simhash(text).alias("sig")).where("sig is not null")
+    sig = cut(docs.select(F.col(doc).alias("doc"), _simhash(text).alias("sig")).where("sig is not null"), "simhash")
     reps = sig.groupBy("sig").agg(F.min("doc").alias("doc"))
-    width = 64 // bands
-    mask = F.lit((1 << width) - 1)
-    banded = reps.select("doc", "sig", F.posexplode(F.array(*[F.shiftrightunsigned("sig", width * i).bitwiseAND(mask) for i in range(bands)])).alias("band", "value"))
-    a, b = banded.alias("a"), banded.alias("b")
-    near = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.doc") < F.col("b.doc")))
-    d = F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig")))
-    near = near.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"), d.cast("int").alias("distance")).where(F.col("distance") <= apart).distinct()
+    blocks = bands + 1
+    at = [64 * i // blocks for i in range(blocks + 1)]
+    bits = [(1 << at[i + 1]) - (1 << at[i]) for i in range(blocks)]
+    mask = lambda some: F.lit(m - (1 << 64) if (m := sum(bits[i] for i in some)) >= 1 << 63 else m).cast("long")
+    choices = list(itertools.combinations(range(blocks), blocks - apart))
+    keyed = reps.select("doc", "sig", F.posexplode(F.array(*[F.col("sig").bitwiseAND(mask(c)) for c in choices])).alias("choice", "value"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    near = a.join(b, (F.col("a.choice") == F.col("b.choice")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.doc") < F.col("b.doc")))
+    x = F.col("a.sig").bitwiseXOR(F.col("b.sig"))
+    first = F.lit(False)
+    for k, c in enumerate(choices):
+        earlier = [x.bitwiseAND(mask([i])) != 0 for i in range(c[-1]) if i not in c]
+        first = F.when(F.col("a.choice") == k, functools.reduce(operator.and_, earlier, F.lit(True))).otherwise(first)
+    near = near.where((F.bit_count(x) <= apart) & first).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"), F.bit_count(x).cast("int").alias("distance"))
     same = sig.join(reps.withColumnRenamed("doc", "lead"), "sig").where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"), F.lit(0).alias("distance"))
     return near.unionByName(same)
 

@@ -1,6 +1,21 @@
 """Work that must not grow with the square of a text or a group."""
 
-from groundmill.operators import crosswalk
+import hashlib
+import random
+import time
+
+from pyspark.sql import functions as F
+
+from groundmill.operators import crosswalk, mining
+
+
+def best(f, n=3):
+    took = []
+    for _ in range(n):
+        began = time.perf_counter()
+        f()
+        took.append(time.perf_counter() - began)
+    return min(took)
 
 
 def most_rows(spark):
@@ -19,6 +34,24 @@ def most_rows(spark):
     return most
 
 
+def test_fingerprints_cost_little_more_than_their_hashes():
+    words = [f"w{i % 977}" for i in range(6000)]
+    grams = [" ".join(words[i : i + 3]).encode() for i in range(len(words) - 2)]
+    assert best(lambda: mining.simhash64(" ".join(words))) < 8 * best(lambda: [hashlib.blake2b(g, digest_size=8).digest() for g in grams])
+
+
+def test_fingerprint_links_are_those_of_brute_force(spark, monkeypatch):
+    g = random.Random(4)
+    sigs = [g.getrandbits(64) for _ in range(40)]
+    sigs += [s ^ sum(1 << b for b in g.sample(range(64), k)) for s in sigs for k in (1, 2, 3, 4)]
+    df = spark.createDataFrame([(i, s - (1 << 64) if s >> 63 else s) for i, s in enumerate(sigs)], "doc int, sig long")
+    monkeypatch.setattr(mining, "_simhash", lambda c: F.col(c))
+    for bands, apart in ((4, 3), (3, 2), (2, 0)):
+        got = sorted((r.a, r.b, r.distance) for r in mining.simhash_pairs(df, "doc", "sig", bands, apart).collect())
+        want = [(i, j, d) for i in range(len(sigs)) for j in range(i + 1, len(sigs)) if (d := (sigs[i] ^ sigs[j]).bit_count()) <= apart]
+        assert got == want
+
+
 def test_terms_of_one_surface_are_met_once(spark):
     entries = spark.range(2000).selectExpr("cast(id as string) as term_id", "'DRUG' as entity_type", "'M' as source_label", "'x' as norm")
     entries = entries.union(entries.where("term_id = '7'")).union(spark.createDataFrame([("7", "DRUG", "M", "y")], entries.schema))
