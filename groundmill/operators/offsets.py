@@ -4,30 +4,29 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAPPED = "struct<norm:string,map:array<int>>"
 _KEPT = re.compile(r"[\w\s/+.-]")
+#: White space by code point; the last one stands for all beyond.
+_BLANK = np.array([chr(i).isspace() for i in range(0x3002)])
 
 
-def squeezed(text: str) -> tuple[str, list[int]]:
+def squeezed(text: str) -> tuple[str, np.ndarray]:
     """White space collapsed to single blanks and trimmed: each run stands where it began."""
-    out, at = [], []
-    for i, c in enumerate(text):
-        if not c.isspace():
-            out.append(c)
-            at.append(i)
-        elif out and out[-1] != " ":
-            out.append(" ")
-            at.append(i)
-    if out and out[-1] == " ":
-        out.pop()
-        at.pop()
-    return "".join(out), at
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = _BLANK[np.minimum(x, len(_BLANK) - 1)]
+    kept = ~blank
+    kept[1:] |= kept[:-1] & blank[1:]
+    at = np.flatnonzero(kept)
+    if len(at) and blank[at[-1]]:
+        at = at[:-1]
+    return np.where(blank[at], 32, x[at]).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), at
 
 
 def keyed(text: str, toneless: bool = False) -> tuple[str, list[int]]:
@@ -45,12 +44,16 @@ def keyed(text: str, toneless: bool = False) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
-def _mapped(f: Callable[[str], tuple[str, list[int]]]):
-    @F.pandas_udf(MAPPED)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            got = [(None, None) if x is None else f(x) for x in s]
-            yield pd.DataFrame({"norm": [g[0] for g in got], "map": [g[1] for g in got]})
+def _mapped(f: Callable[[str], tuple[str, Sequence[int]]]):
+    @F.arrow_udf(MAPPED)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            got = [None if x is None else f(x) for x in texts.to_pylist()]
+            maps = [np.asarray([] if g is None else g[1], np.int32) for g in got]
+            offsets = np.concatenate([[0], np.cumsum([len(m) for m in maps])]).astype(np.int32)
+            missing = pa.array([g is None for g in got], pa.bool_())
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*maps, np.zeros(0, np.int32)])), mask=missing)
+            yield pa.StructArray.from_arrays([pa.array([g and g[0] for g in got], pa.string()), lists], ["norm", "map"])
 
     return run
 
@@ -78,6 +81,6 @@ def contract_issues(mapped: Column, text: Column, collapsed: Column | bool = Tru
     pairs = F.zip_with(m, F.slice(m, 2, F.greatest(F.size(m) - 1, F.lit(0))), lambda a, b: F.when(F.lit(collapsed), a < b).otherwise(a <= b))
     return F.array_compact(F.array(
         F.when(F.size(m) != F.length(mapped["norm"]), "length"),
-        F.when(F.exists(m, lambda x: (x < 0) | (x >= F.length(text))), "range"),
+        F.when((F.array_min(m) < 0) | (F.array_max(m) >= F.length(text)), "range"),
         F.when(F.exists(pairs, lambda ok: F.coalesce(~ok, F.lit(False))), "order"),
     ))

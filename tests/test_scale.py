@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from groundmill.operators import crosswalk, mining
+from groundmill.operators import crosswalk, mining, offsets
 
 
 def best(f, n=3):
@@ -52,6 +52,14 @@ def test_fingerprint_links_are_those_of_brute_force(spark, monkeypatch):
         assert got == want
 
 
+def test_a_long_text_is_squeezed_and_checked_in_one_pass(spark):
+    df = spark.createDataFrame([("é  " * 300_000,)], "t string")
+    rows = df.select("t", offsets.collapse_whitespace(F.col("t")).alias("m"))
+    out = []
+    took = best(lambda: out.append(rows.select(F.length("m.norm").alias("n"), offsets.contract_issues(F.col("m"), F.col("t")).alias("bad")).first()), 1)
+    assert out[0].n == 599_999 and out[0].bad == [] and took < 15
+
+
 def test_terms_of_one_surface_are_met_once(spark):
     entries = spark.range(2000).selectExpr("cast(id as string) as term_id", "'DRUG' as entity_type", "'M' as source_label", "'x' as norm")
     entries = entries.union(entries.where("term_id = '7'")).union(spark.createDataFrame([("7", "DRUG", "M", "y")], entries.schema))
