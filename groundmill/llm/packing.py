@@ -65,17 +65,15 @@ class Tokenizer:
     def _fresh(self) -> None:
         self.known, self.begin, self.flat = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Add the ids of new words, given in the order of their hashes."""
-        new = []
-        for w in words:
-            ids = [t.id for s, _ in self.whole.pre_tokenizer.pre_tokenize_str(w) for t in self.whole.model.tokenize(s)]
-            new.append(np.array(ids, np.uint32))
+        new = [self._words(points, starts[k : k + 4096], ends[k : k + 4096]) for k in range(0, len(starts), 4096)]
+        ids, each = (np.concatenate([x[k] for x in new]) for k in (0, 1))
         if len(self.known) > CACHE:
             self._fresh()
-        lens = np.concatenate([np.diff(self.begin), [len(x) for x in new]]).astype(np.int64)
-        at = np.concatenate([self.begin[:-1], len(self.flat) + np.concatenate([[0], np.cumsum([len(x) for x in new])[:-1]])]).astype(np.int64)
-        flat = np.concatenate([self.flat, *new])
+        lens = np.concatenate([np.diff(self.begin), each]).astype(np.int64)
+        at = np.concatenate([self.begin[:-1], len(self.flat) + np.cumsum(each) - each]).astype(np.int64)
+        flat = np.concatenate([self.flat, ids])
         key = np.concatenate([self.known, hashes])
         order = np.argsort(key, kind="stable")
         lens, at = lens[order], at[order]
@@ -83,6 +81,23 @@ class Tokenizer:
         self.flat = flat[_ranges(at, lens)]
         self.begin = np.concatenate([[0], np.cumsum(lens)])
 
+    def _words(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words and their number for each: all words as one text with blanks between, in one call.
+
+        Where the tokenizer does not find just these words in that text, they are encoded one by one.
+        """
+        size = ends - starts + 1
+        text = points[np.minimum(_ranges(starts, size), len(points) - 1)]
+        text[np.cumsum(size) - 1] = 32
+        text = text.tobytes().decode("utf-32-le")
+        found = self.whole.encode(text, add_special_tokens=False)
+        word, ids = np.array([-1 if w is None else w for w in found.word_ids], np.int64), np.array(found.ids, np.uint32)
+        each = np.bincount(word[word >= 0], minlength=len(starts))
+        if len(each) == len(starts) and each.all() and (word >= 0).all():
+            return ids, each
+        new = [[t.id for s, _ in self.whole.pre_tokenizer.pre_tokenize_str(w) for t in self.whole.model.tokenize(s)] for w in text[:-1].split(" ")]
+        return np.array([i for x in new for i in x], np.uint32), np.array([len(x) for x in new], np.int64)
+
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text in turn."""
         for lo, hi, data, off in X.pieces(column, X.PIECE // 2):
@@ -120,7 +135,7 @@ class Tokenizer:
             if len(self.known) + len(missing) > CACHE:
                 self._fresh()
                 missing = np.arange(len(words))
-            self._learn(words[missing], [fold[starts[first[m]] : ends[first[m]]].tobytes().decode("utf-32-le") for m in missing])
+            self._learn(words[missing], fold, starts[first[missing]], ends[first[missing]])
             spot = np.searchsorted(self.known, words)
         lens = np.diff(self.begin)[spot][inverse] if len(words) else np.zeros(0, np.int64)
         flat = self.flat[_ranges(self.begin[:-1][spot][inverse], lens)] if len(words) else np.zeros(0, np.uint32)

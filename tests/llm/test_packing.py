@@ -86,3 +86,19 @@ def test_groups_are_bounded_in_pieces(spark, monkeypatch):
         per[r.sequence_id >> 32] += 1
     assert len(got) == 1500 and len(per) == 15 and max(per.values()) < 200  # repeated rows are dealt apart
     assert len({(r.sequence_id, r.offset) for r in got}) == 1500
+
+
+def test_new_words_take_one_call(monkeypatch):
+    t = packing.Tokenizer(tokenizer_path())
+    calls, true = [], t.whole
+
+    class Counted:
+        pre_tokenizer, model = true.pre_tokenizer, None
+
+        def encode(self, text, add_special_tokens):
+            calls.append(text)
+            return true.encode(text, add_special_tokens=add_special_tokens)
+
+    t.whole = Counted()
+    text = " ".join(f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}x, don't 7" for i in range(500))
+    assert next(iter(t.encode(pa.array([text])))).tolist() == ids(text) and len(calls) == 1
